@@ -228,14 +228,15 @@ CTES["placed"] = """select user_id, type_group, garment_id, row_number() over (
 
 
 def draws(attempts: str) -> str:
+    places = ", ".join(f"{h('a.rating_id', r)} % c.n_{r} as place_{r}" for r in ROLES)
     joins = " ".join(
-        f"join placed {r} on {r}.user_id = a.user_id and {r}.type_group = '{r}' "
-        f"and {r}.position = {h('a.rating_id', r)} % c.n_{r}" for r in ROLES
+        f"join placed {r} on {r}.user_id = d.user_id and {r}.position = d.place_{r} "
+        f"and {r}.type_group = '{r}'" for r in ROLES
     )
     chosen = ", ".join(f"{r}.garment_id as {r}_garment_id" for r in ROLES)
-    return f"""select a.rating_id, a.user_id, a.context_id, {chosen} from ({attempts}) a
-      join counts c on c.user_id = a.user_id and n_top > 0 and n_bottom > 0 and n_shoes > 0
-      {joins}"""
+    return f"""select d.rating_id, d.user_id, d.context_id, {chosen}
+      from (select a.*, {places} from ({attempts}) a join counts c on c.user_id = a.user_id
+            where n_top > 0 and n_bottom > 0 and n_shoes > 0) d {joins}"""
 
 
 CTES["outfits"] = draws("select context_id as rating_id, user_id, context_id from contexts")
