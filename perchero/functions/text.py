@@ -47,17 +47,18 @@ def parse_reply(text: Column) -> Column:
 # --- normalisation ------------------------------------------------------------------------
 
 TEXT_KEYS = ["season", "weather_condition", "activity", "mood"]
-NO_TERMS = "array<string>"
+TERM_LIST = "array<string>"
 
 
-def entry(reply: Column, key: str) -> Column:
+def entry(reply: Column, key: str, listed: bool = False) -> Column:
     """One key of a parsed reply: its JSON kind and its readings."""
     path = f"$.{key}"
+    items = [F.try_variant_get(reply, path, TERM_LIST).alias("items")] if listed else []
     return F.struct(
         F.schema_of_variant(F.try_variant_get(reply, path, "variant")).alias("kind"),
         F.try_variant_get(reply, path, "string").alias("text"),
         F.try_variant_get(reply, path, "double").alias("number"),
-        F.try_variant_get(reply, path, NO_TERMS).alias("items"),
+        *items,
     )
 
 
@@ -83,10 +84,6 @@ def _missing(e: Column) -> Column:
     )
 
 
-def _to_text(e: Column, default: str) -> Column:
-    return F.lower(F.when(_missing(e), default).otherwise(e["text"]))
-
-
 def _to_float(e: Column, default: float) -> Column:
     digits = F.regexp_replace(F.trim(e["text"]), "(?<=[0-9])_(?=[0-9])", "")
     parsed = F.when(
@@ -109,7 +106,7 @@ def to_terms(e: Column) -> Column:
     """Always a list of lower-cased texts; a scalar becomes a list of one."""
     listed = F.transform(e["items"], lambda x: F.lower(F.coalesce(x, F.lit("none"))))
     return (
-        F.when(_missing(e), F.array().cast(NO_TERMS))
+        F.when(_missing(e), F.array().cast(TERM_LIST))
         .when(_is_list(e), listed)
         .otherwise(F.array(F.lower(e["text"])))
     )
@@ -120,7 +117,7 @@ def default_context(activity: str | None = None) -> Column:
     if activity:
         values["activity"] = activity
     fields = [F.lit(v).alias(k) for k, v in values.items()]
-    return F.struct(*fields, F.array().cast(NO_TERMS).alias("avoid_items"))
+    return F.struct(*fields, F.array().cast(TERM_LIST).alias("avoid_items"))
 
 
 def with_context(messages: DataFrame) -> DataFrame:
@@ -130,16 +127,22 @@ def with_context(messages: DataFrame) -> DataFrame:
     text field of another kind, gets the defaults. The steps are separate projections, so each
     reply is parsed once.
     """
-    keys = [*TEXT_KEYS, "temperature", "formality_level", "avoid_items"]
     rows = messages.withColumn("is_greeting", is_greeting(F.col("message")))
     rows = rows.withColumn(
         "_reply", F.when(~F.col("is_greeting"), parse_reply(F.col("llm_reply")))
     )
-    rows = rows.withColumns({f"_{k}": entry(F.col("_reply"), k) for k in keys})
+    rows = rows.withColumns({
+        **{f"_{k}": entry(F.col("_reply"), k)
+           for k in (*TEXT_KEYS, "temperature", "formality_level")},
+        "_avoid_items": entry(F.col("_reply"), "avoid_items", listed=True),
+    })
+    rows = rows.withColumns({f"_no_{k}": _missing(F.col(f"_{k}")) for k in TEXT_KEYS})
     usable = F.col("_reply").isNotNull()
+    readings = {}
     for k in TEXT_KEYS:
-        usable = usable & (_missing(F.col(f"_{k}")) | _is_text(F.col(f"_{k}")))
-    readings = {k: _to_text(F.col(f"_{k}"), L.DEFAULT_CONTEXT[k]) for k in TEXT_KEYS}
+        missing, text = F.col(f"_no_{k}"), F.col(f"_{k}.text")
+        usable = usable & (missing | _is_text(F.col(f"_{k}")))
+        readings[k] = F.lower(F.when(missing, L.DEFAULT_CONTEXT[k]).otherwise(text))
     readings["temperature"] = _to_float(
         F.col("_temperature"), L.DEFAULT_CONTEXT["temperature"]
     )

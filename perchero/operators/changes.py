@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from perchero import lookups as L
 from perchero.functions.text import allowed_image, extension, form_integer
-from perchero.session import with_checkpoints
+from perchero.session import scratch_path
+from perchero.sources.storage import write_table
 
 REQUIRED = ["name", "type", "primary_color"]
 GARMENT_DEFAULTS = {
@@ -52,7 +53,7 @@ def inserted_garments(changes: DataFrame) -> DataFrame:
     return valid.select("seq", "garment_id", "user_id", *fields)
 
 
-def last_values(changes: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> list[Column]:
+def last_values(fields: Sequence[str]) -> list[Column]:
     """One aggregate per field: the value of the last change that carries the field."""
     return [
         F.max_by(F.struct(_typed(_payload(f), f).alias("v")), F.when(has_key(f), F.col("seq")))
@@ -91,7 +92,7 @@ def apply_garment_changes(garments: DataFrame, changes: DataFrame) -> DataFrame:
     )
     folded = later.groupBy("garment_id", "user_id").agg(
         F.bool_or(F.col("op") == "delete").alias("_deleted"),
-        *last_values(later, ["garment_id"], GARMENT_FIELDS),
+        *last_values(GARMENT_FIELDS),
     )
     rows = garments.unionByName(new.select(*garments.columns))
     merged = rows.join(folded, ["garment_id", "user_id"], "left")
@@ -101,7 +102,7 @@ def apply_garment_changes(garments: DataFrame, changes: DataFrame) -> DataFrame:
 
 def apply_profile_changes(users: DataFrame, changes: DataFrame) -> DataFrame:
     """Partial profile updates; keys outside the profile are ignored."""
-    folded = changes.groupBy("user_id").agg(*last_values(changes, ["user_id"], PROFILE_FIELDS))
+    folded = changes.groupBy("user_id").agg(*last_values(PROFILE_FIELDS))
     merged = users.join(folded, "user_id", "left")
     return merged.select("user_id", *[_overwrite(f) for f in PROFILE_FIELDS])
 
@@ -133,29 +134,27 @@ def accept_registrations(registrations: DataFrame, existing: DataFrame) -> DataF
     user or to an earlier success. Each round accepts the rows that come first both in their
     email and in their username and drops the rows they collide with; a failed row blocks
     nobody, so rounds repeat until none is left. Rounds are few (one per link of the longest
-    collision chain) and each ends in a checkpoint, so the lineage stays short.
+    collision chain) and each ends in a written table, so the lineage stays short.
     """
-    with_checkpoints(registrations.sparkSession)
-    present = F.col("username").isNotNull() & F.col("email").isNotNull()
-    pending = registrations.filter(present)
+    spark, columns = registrations.sparkSession, registrations.columns
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        return write_table(rows.select(*columns), scratch_path(spark, name))
+
+    pending = registrations.filter(F.col("username").isNotNull() & F.col("email").isNotNull())
     for key in ("email", "username"):
         pending = pending.join(existing.select(key).distinct(), key, "left_anti")
-    pending = pending.select(*registrations.columns).checkpoint()
+    pending = stored(pending, "pending")
     accepted = pending.limit(0)
     while not pending.isEmpty():
-        firsts = [
-            pending.groupBy(key).agg(F.min("seq").alias(f"_{key}")) for key in
-            ("email", "username")
-        ]
-        marked = pending.join(firsts[0], "email").join(firsts[1], "username")
-        winners = marked.filter(
-            (F.col("seq") == F.col("_email")) & (F.col("seq") == F.col("_username"))
-        ).select(*registrations.columns).checkpoint()
+        marked = pending
+        for key in ("email", "username"):
+            first = pending.groupBy(key).agg(F.min("seq").alias(f"_{key}"))
+            marked = marked.join(first, key)
+        comes_first = (F.col("seq") == F.col("_email")) & (F.col("seq") == F.col("_username"))
+        winners = stored(marked.filter(comes_first), "accepted")
         accepted = accepted.unionByName(winners)
-        pending = (
-            pending.join(winners.select("email"), "email", "left_anti")
-            .join(winners.select("username"), "username", "left_anti")
-            .select(*registrations.columns)
-            .checkpoint()
-        )
+        for key in ("email", "username"):
+            pending = pending.join(winners.select(key), key, "left_anti")
+        pending = stored(pending, "pending")
     return accepted

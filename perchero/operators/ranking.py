@@ -15,6 +15,8 @@ BLOCK_WIDTH = 1 << 16
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The row with the lowest ``order`` per key, with map-side partial aggregation."""
     rest = [c for c in rows.columns if c not in keys]
+    if rest == [order]:
+        return rows.groupBy(*keys).agg(F.min(order).alias(order)).select(*rows.columns)
     best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
     return best.select(*keys, "_row.*").select(*rows.columns)
 

@@ -405,7 +405,7 @@ def context_normalize(t: TestTables) -> DataFrame:
 def avoid_normalize(t: TestTables) -> DataFrame:
     """Avoid terms of every parsable reply, whatever the message says."""
     rows = t.messages.withColumn("_reply", text.parse_reply(F.col("llm_reply")))
-    rows = rows.withColumn("_entry", text.entry(F.col("_reply"), "avoid_items"))
+    rows = rows.withColumn("_entry", text.entry(F.col("_reply"), "avoid_items", listed=True))
     terms = text.to_terms(F.col("_entry"))
     return rows.select(
         "message_id", F.size(terms).alias("n_terms"), F.concat_ws("|", terms).alias("terms")

@@ -25,13 +25,6 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Make ``DataFrame.checkpoint`` usable."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{scratch_root(spark)}/checkpoints")
-    return spark
-
-
 def run_folder(spark: SparkSession) -> str:
     """This application's part of the shared folder."""
     context = spark.sparkContext
