@@ -8,19 +8,16 @@ matching.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perchero import lookups as L
-from perchero.functions.hashing import contains_any, draw_below, lookup
-from perchero.functions.rules import Getter, plain, prefixed
+from perchero.functions.hashing import draw_below
+from perchero.functions.sqltext import (
+    among, case, mentions, number, points, text, total, with_columns, yes,
+)
 
 PARTS = ["activity", "climate", "patterns", "color", "body", "colorimetry", "gender"]
-SMART = ["formal", "smart"]
-SPORTY = ["sport", "sport_casual"]
 BASICS = ["camiseta", "croptop", "hoodie"]
 OCCASIONS = {
     "office": ["trabajo_oficina"],
@@ -31,22 +28,6 @@ OCCASIONS = {
     "party": ["fiesta_nocturna"],
     "date": ["cita_romantica"],
 }
-
-
-def _on(condition: Column, points: float) -> Column:
-    return F.when(condition, F.lit(points)).otherwise(F.lit(0.0))
-
-
-def _yes(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
-
-
-def _text(column: Column) -> Column:
-    return F.coalesce(column, F.lit(""))
-
-
-# --- inputs -------------------------------------------------------------------------------
-
 # Points when all three garments qualify, per occasion.
 FIRST_JOINT = {
     "office": 1.0, "event": 1.5, "home": 0.8, "walk": 0.7, "party": 0.5, "date": 0.8,
@@ -56,230 +37,224 @@ SECOND_JOINT = {"office": 0.7, "event": 1.0, "walk": -0.8}
 SECOND_MISSED = {"home": -1.2}
 
 
-def context_inputs() -> dict[str, Column]:
+# --- inputs -------------------------------------------------------------------------------
+
+def context_inputs() -> dict[str, str]:
     """Which occasion's rules apply, and the points of its two joint conditions."""
-    activity = F.col("activity")
-
-    def per_occasion(points: dict) -> Column:
-        out = F.lit(0.0)
-        for name, value in points.items():
-            out = F.when(activity.isin(OCCASIONS[name]), F.lit(value)).otherwise(out)
-        return out
-
-    occasion = F.lit("other")
-    for name, activities in OCCASIONS.items():
-        occasion = F.when(activity.isin(activities), name).otherwise(occasion)
-    overdressed = (activity == "casual_paseo") & (F.col("context_formality") > 2)
+    at = {name: among("activity", values) for name, values in OCCASIONS.items()}
+
+    def per_occasion(values: dict) -> str:
+        return case(((at[n], number(v)) for n, v in values.items()), number(0))
+
+    dressed_up = f"{at['walk']} and context_formality > 2"
     return {
-        "occasion": occasion,
+        "occasion": case(((test, text(n)) for n, test in at.items()), "'other'"),
         "joint1_points": per_occasion(FIRST_JOINT),
-        "joint2_points": F.when(overdressed, 0.0).otherwise(per_occasion(SECOND_JOINT)),
+        "joint2_points": case([(dressed_up, number(0))], per_occasion(SECOND_JOINT)),
         "joint2_missed": per_occasion(SECOND_MISSED),
     }
 
 
-def _body_points(index: int, type_: Column, points: float) -> Column:
-    out = F.lit(0.0)
-    for shape, keywords in L.BODY_SHAPE_KEYWORDS.items():
-        if keywords[index]:
-            hit = (F.col("body_shape") == shape) & contains_any(type_, keywords[index])
-            out = F.when(hit, F.lit(points)).otherwise(out)
-    return out
+class _Garment:
+    """Attribute texts of one garment, null-safe where the rules compare text."""
 
-
-def _in_colorimetry(index: int, color: Column) -> Column:
-    out = F.lit(False)
-    for tone, lists in L.COLORIMETRY.items():
-        if lists[index]:
-            out = out | _yes((F.col("skin_tone") == tone) & color.isin(lists[index]))
-    return out
+    def __init__(self, prefix: str):
+        self.type, self.name, self.material, self.pattern, self.kind = (
+            f"coalesce({prefix}{a}, '')"
+            for a in ("type", "name", "material", "pattern", "role")
+        )
+        self.color = f"{prefix}primary_color"
+        self.level = f"{prefix}formality_level"
+        self.smart = f"{self.kind} in ('formal', 'smart')"
+        self.sporty = f"{self.kind} in ('sport', 'sport_casual')"
 
 
-def _first_condition(role: str, level: Column) -> Column:
-    """The garment's share of the occasion's first joint condition."""
-    occasion = F.col("occasion")
-    if role == "shoes":
-        return (occasion != "event") | (level >= 4)
-    return (
-        F.when(occasion == "office", level >= 3)
-        .when(occasion == "event", level >= 4)
-        .when(occasion == "home", level <= 2)
-        .when(occasion == "walk", level.between(1, 3))
-        .when(occasion == "party", level.between(2, 4))
-        .when(occasion == "date", level.between(3, 5))
-        .otherwise(False)
-    )
+def _body_points(index: int, type_: str, value: float) -> str:
+    return case((
+        (f"body_shape = {text(shape)} and {mentions(type_, keywords[index])}", number(value))
+        for shape, keywords in L.BODY_SHAPE_KEYWORDS.items() if keywords[index]
+    ), number(0))
 
 
-def _second_condition(role: str, level: Column, kind: Column) -> Column:
-    occasion = F.col("occasion")
-    if role == "shoes":
-        return (
-            F.when(occasion == "event", kind.isin(SMART))
-            .when(occasion == "home", level < 4).otherwise(True)
-        )
-    return (
-        F.when(occasion == "office", kind.isin(SMART))
-        .when(occasion.isin("event", "walk"), kind == "formal")
-        .when(occasion == "home", level < 4)
-        .otherwise(False)
+def _in_colorimetry(index: int, color: str) -> str:
+    return " or ".join(
+        yes(f"skin_tone = {text(tone)} and {among(color, lists[index])}")
+        for tone, lists in L.COLORIMETRY.items() if lists[index]
     )
 
 
-def _own_points(role: str, kind: Column) -> Column:
+def _joint_conditions(role: str, g: _Garment) -> tuple[str, str]:
+    """The garment's share of the occasion's two joint conditions."""
+    if role == "shoes":
+        first = f"occasion <> 'event' or {g.level} >= 4"
+        second = case([
+            ("occasion = 'event'", g.smart), ("occasion = 'home'", f"{g.level} < 4"),
+        ], "true")
+        return first, second
+    first = case([
+        ("occasion = 'office'", f"{g.level} >= 3"),
+        ("occasion = 'event'", f"{g.level} >= 4"),
+        ("occasion = 'home'", f"{g.level} <= 2"),
+        ("occasion = 'walk'", f"{g.level} between 1 and 3"),
+        ("occasion = 'party'", f"{g.level} between 2 and 4"),
+        ("occasion = 'date'", f"{g.level} between 3 and 5"),
+    ], "false")
+    second = case([
+        ("occasion = 'office'", g.smart),
+        ("occasion in ('event', 'walk')", f"{g.kind} = 'formal'"),
+        ("occasion = 'home'", f"{g.level} < 4"),
+    ], "false")
+    return first, second
+
+
+def _own_points(role: str, g: _Garment) -> str:
     """Points for the garment's role in the wardrobe."""
-    occasion, dressy = F.col("occasion"), F.col("context_formality") >= 3
     if role != "shoes":
-        return F.when(occasion != "sports", 0.0).when(kind.isin(SPORTY), 1.0).otherwise(-0.8)
-    sport, smart = kind == "sport", kind.isin(SMART)
-    return (
-        F.when(occasion == "sports", F.when(sport, 1.5).when(smart, -2.0).otherwise(0.0))
-        .when((occasion == "office") & sport & dressy, -1.0)
-        .when((occasion == "event") & sport, -2.0)
-        .when((occasion == "party") & sport & dressy, -0.5)
-        .when((occasion == "date") & smart, 0.8)
-        .when((occasion == "date") & sport, -1.5)
-        .otherwise(0.0)
-    )
-
-
-def _level_points(role: str, level: Column, type_: Column) -> Column:
+        return case([
+            ("occasion <> 'sports'", number(0)), (g.sporty, number(1)),
+        ], number(-0.8))
+    sport, dressy = f"{g.kind} = 'sport'", "context_formality >= 3"
+    return case([
+        (f"occasion = 'sports' and {sport}", number(1.5)),
+        (f"occasion = 'sports' and {g.smart}", number(-2)),
+        (f"occasion = 'office' and {sport} and {dressy}", number(-1)),
+        (f"occasion = 'event' and {sport}", number(-2)),
+        (f"occasion = 'party' and {sport} and {dressy}", number(-0.5)),
+        (f"occasion = 'date' and {g.smart}", number(0.8)),
+        (f"occasion = 'date' and {sport}", number(-1.5)),
+    ], number(0))
+
+
+def _level_points(role: str, g: _Garment) -> str:
     """Points for the garment's formality alone."""
-    out = F.when((F.col("occasion") == "sports") & (level >= 4), -1.0)
+    cases = [(f"occasion = 'sports' and {g.level} >= 4", number(-1))]
     if role == "top":
-        basic = type_.isin(BASICS) & (level < 3)
-        out = out.when((F.col("occasion") == "office") & basic, -1.2)
-    return out.otherwise(0.0)
+        plain = f"{among(g.type, BASICS)} and {g.level} < 3"
+        cases.append((f"occasion = 'office' and {plain}", number(-1.2)))
+    return case(cases, number(0))
 
 
-def _climate_points(role: str, type_: Column, material: Column) -> tuple[Column, Column]:
-    season = F.col("season")
-    winter, summer = season == "invierno", season == "verano"
-    rain = F.col("weather_condition").isin(L.RAIN_WEATHER)
-    if role == "top":
-        points = (
-            F.when(winter & material.isin("lana", "tweed"), 1.0)
-            .when(winter & material.isin("lino", "seda"), -2.0)
-            .when(summer & material.isin("lino", "algodon"), 1.0)
-            .when(summer & material.isin("lana", "tweed"), -2.0)
-            .otherwise(0.0)
-        )
-        return points, F.lit(0.0)
-    if role == "shoes":
-        soaked = type_.contains("sneaker") & ~material.isin("cuero", "sintetico")
-        return _on(rain & type_.contains("bota"), 0.5), _on(rain & soaked, -0.5)
-    return F.lit(0.0), F.lit(0.0)
+def _top_slots(g: _Garment) -> dict[str, str]:
+    return {
+        "climate": case([
+            (f"season = 'invierno' and {g.material} in ('lana', 'tweed')", number(1)),
+            (f"season = 'invierno' and {g.material} in ('lino', 'seda')", number(-2)),
+            (f"season = 'verano' and {g.material} in ('lino', 'algodon')", number(1)),
+            (f"season = 'verano' and {g.material} in ('lana', 'tweed')", number(-2)),
+        ], number(0)),
+        "loud": f"{g.pattern} in ('floral', 'animal_print')",
+        "body": _body_points(0, g.type, 0.4),
+        "body2": _body_points(2, g.type, -0.5),
+        "gender1": points(
+            f"gender = 'mujer' and {g.type} = 'vestido' and context_formality > 2", 0.7
+        ),
+        "pair1": yes(f"gender = 'hombre' and {g.type} = 'camisa'"),
+        "pair2": yes(f"gender = 'hombre' and {g.type} = 'blazer'"),
+        "pair3": yes(f"gender = 'no_binario' and {g.level} > 3"),
+        "gender2": points(
+            f"gender = 'no_binario' and {mentions(g.name, ['estructurado', 'asimetrico'])}", 0.5
+        ),
+    }
 
 
-def garment_inputs(role: str, get: Getter = plain) -> dict[str, Column]:
+def _bottom_slots(g: _Garment) -> dict[str, str]:
+    skirt = f"({mentions(g.type, ['falda'])} or {mentions(g.name, ['falda'])})"
+    return {
+        "body": _body_points(1, g.type, 0.4),
+        "gender1": points(f"gender = 'mujer' and {skirt}", 0.2),
+        "pair1": f"{g.type} = 'pantalones_sastre'",
+        "pair2": f"{g.type} = 'jeans'",
+        "pair3": yes(f"{g.level} < 3"),
+    }
+
+
+def _shoes_slots(g: _Garment) -> dict[str, str]:
+    rain = among("weather_condition", L.RAIN_WEATHER)
+    soaked = f"{mentions(g.type, ['sneaker'])} and {g.material} not in ('cuero', 'sintetico')"
+    return {
+        "climate": points(f"{rain} and {mentions(g.type, ['bota'])}", 0.5),
+        "climate2": points(f"{rain} and {soaked}", -0.5),
+    }
+
+
+def garment_inputs(role: str, prefix: str = "") -> dict[str, str]:
     """What the score reads about one garment of a role, given context and user.
 
-    Every role has the same slots; the ones its rules do not use hold a neutral value.
+    Every role has the same slots; the ones its rules do not use hold a neutral value. With a
+    ``prefix`` the attributes are read from the columns of a flat outfit table.
     """
-    type_, name = _text(get("type")), _text(get("name"))
-    material, color, pattern = _text(get("material")), get("primary_color"), get("pattern")
-    level, kind, gender = get("formality_level"), _text(get("role")), F.col("gender")
-    woman, man, other = gender == "mujer", gender == "hombre", gender == "no_binario"
-    no, zero = F.lit(False), F.lit(0.0)
-    climate, climate2 = _climate_points(role, type_, material)
+    g, no, zero = _Garment(prefix), "false", number(0)
+    first, second = _joint_conditions(role, g)
     slots = {
-        "joint1": _yes(_first_condition(role, level)),
-        "joint2": _yes(_second_condition(role, level, kind)),
-        "own": _own_points(role, kind),
-        "level_points": _level_points(role, level, type_),
-        "climate": climate, "climate2": climate2,
-        "primary_color": color,
+        "joint1": yes(first), "joint2": yes(second),
+        "own": _own_points(role, g), "level_points": _level_points(role, g),
+        "climate": zero, "climate2": zero, "primary_color": g.color,
         "busy": no, "loud": no, "printed": no,
         "body": zero, "body2": zero, "suits": no, "clashes": no,
         "gender1": zero, "pair1": no, "pair2": no, "pair3": no, "gender2": zero,
     }
     if role == "shoes":
-        return slots
+        return slots | _shoes_slots(g)
+    busy = [p for p, complexity in L.PATTERN_COMPLEXITY.items() if complexity > 1]
     slots |= {
-        "busy": lookup(L.PATTERN_COMPLEXITY, pattern, F.lit(0)) > 1,
-        "printed": _text(pattern) != "liso",
-        "suits": _in_colorimetry(0, color),
-        "clashes": _in_colorimetry(1, color),
-    }
-    if role == "top":
-        dress = woman & (type_ == "vestido") & (F.col("context_formality") > 2)
-        cut = name.contains("estructurado") | name.contains("asimetrico")
-        return slots | {
-            "loud": _yes(pattern.isin("floral", "animal_print")),
-            "body": _body_points(0, type_, 0.4),
-            "body2": _body_points(2, type_, -0.5),
-            "gender1": _on(dress, 0.7),
-            "pair1": _yes(man & (type_ == "camisa")),
-            "pair2": _yes(man & (type_ == "blazer")),
-            "pair3": _yes(other & (level > 3)),
-            "gender2": _on(other & cut, 0.5),
-        }
-    return slots | {
-        "body": _body_points(1, type_, 0.4),
-        "gender1": _on(woman & (type_.contains("falda") | name.contains("falda")), 0.2),
-        "pair1": type_ == "pantalones_sastre",
-        "pair2": type_ == "jeans",
-        "pair3": _yes(level < 3),
+        "busy": among(g.pattern, busy),
+        "printed": f"{g.pattern} <> 'liso'",
+        "suits": _in_colorimetry(0, g.color),
+        "clashes": _in_colorimetry(1, g.color),
     }
+    return slots | (_top_slots(g) if role == "top" else _bottom_slots(g))
 
 
 def add_inputs(outfits: DataFrame) -> DataFrame:
     """All inputs for a table of flat outfits (``top_type``, ``top_role``, ...)."""
     slots = {
-        f"{role}_{name}": column
+        f"{role}_{name}": sql
         for role in L.ROLES
-        for name, column in garment_inputs(role, prefixed(role)).items()
+        for name, sql in garment_inputs(role, f"{role}_").items()
         if name != "primary_color"
     }
-    return outfits.withColumns(context_inputs()).withColumns(slots)
+    return with_columns(with_columns(outfits, context_inputs()), slots)
 
 
 # --- terms --------------------------------------------------------------------------------
 
-def _terms() -> dict[str, list[Column]]:
-    c = F.col
-
-    def both(name: str) -> Column:
-        return c(f"top_{name}") & c(f"bottom_{name}")
-
-    def either(name: str) -> Column:
-        return c(f"top_{name}") | c(f"bottom_{name}")
-
-    same_color = c("top_primary_color") == c("bottom_primary_color")
-    joint1 = F.when(both("joint1") & c("shoes_joint1"), c("joint1_points")).otherwise(0.0)
-    joint2 = F.when(both("joint2") & c("shoes_joint2"), c("joint2_points")).otherwise(
-        c("joint2_missed")
-    )
-    return {
-        "activity": [
-            joint1, joint2,
-            c("top_own"), c("bottom_own"), c("shoes_own"),
-            c("top_level_points"), c("bottom_level_points"), c("shoes_level_points"),
-        ],
-        "climate": [c("top_climate"), c("shoes_climate"), c("shoes_climate2")],
-        "patterns": [
-            _on(both("busy"), -1.2), _on(c("top_loud") & c("bottom_printed"), -1.2),
-        ],
-        "color": [_on(same_color & c("top_printed"), -1.0)],
-        "body": [c("top_body"), c("bottom_body"), c("top_body2")],
-        "colorimetry": [_on(either("clashes"), -0.5), _on(either("suits"), 0.3)],
-        "gender": [
-            c("top_gender1"), c("bottom_gender1"),
-            _on(both("pair1"), 0.8), _on(both("pair2"), 0.4), _on(both("pair3"), 0.3),
-            c("top_gender2"),
-        ],
-    }
+def _both(name: str) -> str:
+    return f"top_{name} and bottom_{name}"
+
+
+def _either(name: str) -> str:
+    return f"top_{name} or bottom_{name}"
+
+
+TERMS = {
+    "activity": [
+        case([(f"{_both('joint1')} and shoes_joint1", "joint1_points")], number(0)),
+        case([(f"{_both('joint2')} and shoes_joint2", "joint2_points")], "joint2_missed"),
+        "top_own", "bottom_own", "shoes_own",
+        "top_level_points", "bottom_level_points", "shoes_level_points",
+    ],
+    "climate": ["top_climate", "shoes_climate", "shoes_climate2"],
+    "patterns": [points(_both("busy"), -1.2), points("top_loud and bottom_printed", -1.2)],
+    "color": [points("top_primary_color = bottom_primary_color and top_printed", -1)],
+    "body": ["top_body", "bottom_body", "top_body2"],
+    "colorimetry": [points(_either("clashes"), -0.5), points(_either("suits"), 0.3)],
+    "gender": [
+        "top_gender1", "bottom_gender1",
+        points(_both("pair1"), 0.8), points(_both("pair2"), 0.4), points(_both("pair3"), 0.3),
+        "top_gender2",
+    ],
+}
+SCORE = total([number(L.BASE_RATING), *(t for part in PARTS for t in TERMS[part])])
 
 
 def expert_parts() -> dict[str, Column]:
     """Points per rule block."""
-    return {part: reduce(add, terms) for part, terms in _terms().items()}
+    return {part: F.expr(total(terms)) for part, terms in TERMS.items()}
 
 
 def expert_score() -> Column:
     """Noise-free score: base plus every term, added one after the other."""
-    terms = [t for block in _terms().values() for t in block]
-    return reduce(add, terms, F.lit(L.BASE_RATING))
+    return F.expr(SCORE)
 
 
 def noise(key: Column) -> Column:

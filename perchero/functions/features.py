@@ -1,133 +1,112 @@
 """Outfit compatibility features.
 
-All functions read the flat column names of a triple: ``top_type``, ``bottom_material``,
-``season``, ``temperature``, ``style_preference`` and so on. ``variant`` chooses between
-the training and the serving behaviour, which differ in word lists and case handling.
+The features read the flat column names of an outfit: ``top_type``, ``bottom_material``,
+``season``, ``temperature``, ``style_preference`` and so on. ``variant`` chooses between the
+training and the serving behaviour, which differ in word lists and case handling. The three
+share features can also read per-garment hits prepared before outfits are enumerated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perchero import lookups as L
-from perchero.functions.hashing import lookup
-from perchero.functions.rules import Getter, plain, prefixed
+from perchero.functions.sqltext import among, case, number, text
 
 DEFAULT_FORMALITY = 3
+MATCHES = {
+    "color_match": "primary_color", "material_match": "material", "pattern_match": "pattern",
+}
+PAIRS = [("top", "bottom"), ("top", "shoes"), ("bottom", "shoes")]
+
+
+def formality(prefix: str = "") -> str:
+    """Formality with the default for a missing value."""
+    return f"coalesce({prefix}formality_level, {DEFAULT_FORMALITY})"
 
 
-def same(attribute: str) -> Column:
+def match_columns() -> dict[str, Column]:
     """1 where top and bottom agree, 0 otherwise; two nulls do not agree."""
-    agree = F.col(f"top_{attribute}") == F.col(f"bottom_{attribute}")
-    return F.coalesce(agree, F.lit(False)).cast("int")
+    return {
+        name: F.expr(f"int(coalesce(top_{a} = bottom_{a}, false))") for name, a in MATCHES.items()
+    }
 
 
-def formality(role: str) -> Column:
-    """Formality with the default for a missing value."""
-    return F.coalesce(F.col(f"{role}_formality_level"), F.lit(DEFAULT_FORMALITY))
+def diff_columns() -> dict[str, Column]:
+    return {
+        f"formality_diff_{a}_{b}": F.expr(f"abs({formality(a + '_')} - {formality(b + '_')})")
+        for a, b in PAIRS
+    }
 
 
-def formality_diff(a: str, b: str) -> Column:
-    return F.abs(formality(a) - formality(b))
+# --- share features -----------------------------------------------------------------------
 
+def _style(variant: str) -> str:
+    return "lower(style_preference)" if variant == "serve" else "style_preference"
 
-def style_hit(variant: str, get: Getter) -> Column:
+
+def style_hit(variant: str, prefix: str = "") -> str:
     """1 where the garment's type or colour suits the user's style."""
-    prefs = L.STYLE_PREFS[variant]
-    types = lookup({s: t for s, (t, _) in prefs.items()}, _style(variant))
-    colors = lookup({s: c for s, (_, c) in prefs.items()}, _style(variant))
-    by_type = F.coalesce(F.array_contains(types, get("type")), F.lit(False))
-    by_color = F.coalesce(F.array_contains(colors, get("primary_color")), F.lit(False))
-    return (by_type | by_color).cast("int")
+    return case((
+        (f"{_style(variant)} = {text(style)}",
+         f"int({among(f'{prefix}type', types)} or {among(f'{prefix}primary_color', colors)})")
+        for style, (types, colors) in L.STYLE_PREFS[variant].items()
+    ), "0")
 
 
-def material_hit(materials: list[str], get: Getter) -> Column:
-    return F.coalesce(F.lower(get("material")).isin(materials), F.lit(False)).cast("int")
+def material_hit(materials: list[str], prefix: str = "") -> str:
+    return f"int({among(f'lower({prefix}material)', materials)})"
 
 
-def garment_inputs(variant: str, get: Getter = plain) -> dict[str, Column]:
+def garment_inputs(variant: str, prefix: str = "") -> dict[str, str]:
     """What the three share features need to know about one garment."""
     return {
-        "style_hit": style_hit(variant, get),
-        "summer": material_hit(L.SUMMER_MATERIALS, get),
-        "winter": material_hit(L.WINTER_MATERIALS, get),
+        "style_hit": style_hit(variant, prefix),
+        "summer": material_hit(L.SUMMER_MATERIALS, prefix),
+        "winter": material_hit(L.WINTER_MATERIALS, prefix),
     }
 
 
-def _style(variant: str) -> Column:
-    style = F.col("style_preference")
-    return F.lower(style) if variant == "serve" else style
-
-
-def _share(hits: Callable[[str], Column]) -> Column:
-    return (hits("top") + hits("bottom") + hits("shoes")) / F.lit(3.0)
+def _share(name: str, variant: str, prepared: bool) -> str:
+    hits = [
+        f"{r}_{name}" if prepared else garment_inputs(variant, f"{r}_")[name] for r in L.ROLES
+    ]
+    return f"({' + '.join(f'({h})' for h in hits)}) / 3.0D"
 
 
-def _ready(name: str) -> Callable[[str], Column]:
-    return lambda role: F.col(f"{role}_{name}")
-
-
-def _materials(materials: list[str]) -> Callable[[str], Column]:
-    return lambda role: material_hit(materials, prefixed(role))
-
-
-def style_match(variant: str = "train", hits: Callable[[str], Column] | None = None) -> Column:
+def style_match(variant: str = "train", prepared: bool = False) -> Column:
     """Share of the garments whose type or colour suits the style; 0.5 for other styles."""
-    hits = hits or (lambda role: style_hit(variant, prefixed(role)))
-    known = F.coalesce(_style(variant), F.lit("")).isin(list(L.STYLE_PREFS[variant]))
-    return F.when(known, _share(hits)).otherwise(0.5)
+    known = among(_style(variant), list(L.STYLE_PREFS[variant]))
+    return F.expr(case([(known, _share("style_hit", variant, prepared))], number(0.5)))
 
 
-def seasonal_appropriateness(variant: str = "train", summer=None, winter=None) -> Column:
+def seasonal_appropriateness(variant: str = "train", prepared: bool = False) -> Column:
     """Share of the garments in a material of the season; 0.5 in mild seasons."""
-    season = F.col("season") if variant == "train" else F.lower(F.col("season"))
-    return (
-        F.when(season == "verano", _share(summer or _materials(L.SUMMER_MATERIALS)))
-        .when(season == "invierno", _share(winter or _materials(L.WINTER_MATERIALS)))
-        .otherwise(0.5)
-    )
+    season = "season" if variant == "train" else "lower(season)"
+    return F.expr(case([
+        (f"{season} = 'verano'", _share("summer", variant, prepared)),
+        (f"{season} = 'invierno'", _share("winter", variant, prepared)),
+    ], number(0.5)))
 
 
-def temp_material_match(summer=None, winter=None) -> Column:
+def temp_material_match(prepared: bool = False) -> Column:
     """As above by temperature. NaN is mild, although Spark orders it above every number."""
-    temperature = F.nanvl(F.col("temperature"), F.lit(None).cast("double"))
-    return (
-        F.when(temperature > 25, _share(summer or _materials(L.SUMMER_MATERIALS)))
-        .when(temperature < 10, _share(winter or _materials(L.WINTER_MATERIALS)))
-        .otherwise(0.5)
-    )
-
-
-def match_columns() -> dict[str, Column]:
-    return {
-        "color_match": same("primary_color"),
-        "material_match": same("material"),
-        "pattern_match": same("pattern"),
-    }
-
-
-def diff_columns() -> dict[str, Column]:
-    return {
-        "formality_diff_top_bottom": formality_diff("top", "bottom"),
-        "formality_diff_top_shoes": formality_diff("top", "shoes"),
-        "formality_diff_bottom_shoes": formality_diff("bottom", "shoes"),
-    }
+    return F.expr(case([
+        ("isnan(temperature)", number(0.5)),
+        ("temperature > 25", _share("summer", "train", prepared)),
+        ("temperature < 10", _share("winter", "train", prepared)),
+    ], number(0.5)))
 
 
 def feature_columns(variant: str = "train", prepared: bool = False) -> dict[str, Column]:
-    """All nine features; ``prepared`` reads the per-garment inputs instead of the texts."""
-    style = _ready("style_hit") if prepared else None
-    summer = _ready("summer") if prepared else None
-    winter = _ready("winter") if prepared else None
+    """All nine features; ``prepared`` reads the per-garment hits instead of the texts."""
     return {
         **match_columns(),
         **diff_columns(),
-        "style_match": style_match(variant, style),
-        "seasonal_appropriateness": seasonal_appropriateness(variant, summer, winter),
-        "temp_material_match": temp_material_match(summer, winter),
+        "style_match": style_match(variant, prepared),
+        "seasonal_appropriateness": seasonal_appropriateness(variant, prepared),
+        "temp_material_match": temp_material_match(prepared),
     }
 
 
