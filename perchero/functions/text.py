@@ -51,13 +51,12 @@ TERM_LIST = "array<string>"
 
 
 def entry(reply: Column, key: str, listed: bool = False) -> Column:
-    """One key of a parsed reply: its JSON kind and its readings."""
+    """One key of a parsed reply: its JSON kind, its text, and its elements if asked for."""
     path = f"$.{key}"
     items = [F.try_variant_get(reply, path, TERM_LIST).alias("items")] if listed else []
     return F.struct(
         F.schema_of_variant(F.try_variant_get(reply, path, "variant")).alias("kind"),
         F.try_variant_get(reply, path, "string").alias("text"),
-        F.try_variant_get(reply, path, "double").alias("number"),
         *items,
     )
 
@@ -74,30 +73,34 @@ def _is_nested(e: Column) -> Column:
     return _is_list(e) | F.coalesce(e["kind"].startswith("OBJECT"), F.lit(False))
 
 
+def _number(e: Column, pattern: str) -> Column:
+    """Double reading of a number, a boolean, or a text of the given form."""
+    digits = F.regexp_replace(F.trim(e["text"]), "(?<=[0-9])_(?=[0-9])", "")
+    return (
+        F.when(_is_text(e), F.when(e["text"].rlike(pattern), digits.try_cast("double")))
+        .when(e["kind"] == "BOOLEAN", (e["text"] == "true").cast("double"))
+        .when(~_is_nested(e), e["text"].try_cast("double"))
+    )
+
+
 def _missing(e: Column) -> Column:
     """Absent, null, or an empty or zero value."""
     return (
         F.when(e["kind"].isNull() | (e["kind"] == "VOID"), True)
         .when(_is_text(e), e["text"] == "")
         .when(_is_nested(e), e["text"].isin("[]", "{}"))
-        .otherwise(F.coalesce(e["number"] == 0.0, F.lit(False)))
+        .when(e["kind"] == "BOOLEAN", e["text"] == "false")
+        .otherwise(F.coalesce(e["text"].try_cast("double") == 0.0, F.lit(False)))
     )
 
 
 def _to_float(e: Column, default: float) -> Column:
-    digits = F.regexp_replace(F.trim(e["text"]), "(?<=[0-9])_(?=[0-9])", "")
-    parsed = F.when(
-        _is_text(e), F.when(e["text"].rlike(FLOAT_TEXT), digits.try_cast("double"))
-    ).when(~_is_nested(e), e["number"])
-    return F.coalesce(parsed, F.lit(default))
+    return F.coalesce(_number(e, FLOAT_TEXT), F.lit(default))
 
 
 def _to_level(e: Column, default: int) -> Column:
     """Integer reading kept inside 1..5: 3.7 gives 3, the text "3.7" the default."""
-    digits = F.regexp_replace(F.trim(e["text"]), "_", "")
-    parsed = F.when(
-        _is_text(e), F.when(e["text"].rlike(INTEGER_TEXT), digits.try_cast("double"))
-    ).when(~_is_nested(e), e["number"])
+    parsed = _number(e, INTEGER_TEXT)
     bounded = F.greatest(F.lit(1.0), F.least(F.lit(5.0), parsed))
     return F.when(parsed.isNull(), default).otherwise(F.floor(bounded).cast("int"))
 
