@@ -57,11 +57,6 @@ RATINGS_CSV = _struct(
     "bottom_garment_id bigint, shoes_garment_id bigint, rating double"
 )
 
-GARMENT_ATTRIBUTES = [
-    "name", "type", "primary_color", "pattern", "material", "formality_level",
-    "description", "type_group", "image_url",
-]
-PROFILE_ATTRIBUTES = ["username", "age", "body_shape", "style_preference", "skin_tone", "gender"]
 CONTEXT_ATTRIBUTES = [
     "season", "weather_condition", "temperature", "activity", "mood", "formality_level",
 ]
