@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,14 +12,12 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to a
-    temporary folder of this machine: on a cluster the executors could not see it.
+    It is ``spark.checkpoint.dir``. Where a session leaves that unset, a folder in the warehouse
+    (``spark.sql.warehouse.dir``), which all executors share as well, takes its place.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="perchero-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
         spark.conf.set(CHECKPOINT_DIR, root)
     return root.rstrip("/")
 
