@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
+import perchero
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors once, for clusters where it is not installed."""
+    context = spark.sparkContext
+    if getattr(context, "_perchero_shipped", False):
+        return
+    home = Path(perchero.__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/perchero", "zip", home.parent, home.name)
+    context.addPyFile(archive)
+    context._perchero_shipped = True
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors."""
+    shipped(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perchero.llm import decontaminate
+from perchero.llm import decontaminate, quality
 from perchero.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.drop("version", "items")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept", "rule")
+
+
 def registered() -> dict[str, Query]:
     return {
+        "op8_quality_rules": op8_quality_rules,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
