@@ -33,5 +33,30 @@ from d left join hit using (doc_id) left join items using (doc_id)
 """
 
 
+JACCARD = f"""
+with recursive d as (select doc_id, {WORDS} as w from documents),
+sh as (
+  select distinct doc_id, array_to_string(w[s:s + 4], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as s from d where len(w) > 0)),
+size as (select doc_id, count(*) as n from sh group by doc_id),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n
+  from sh a join sh b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+linked as (
+  select a, b, p.n = x.n and p.n = y.n as same
+  from pairs p join size x on x.doc_id = a join size y on y.doc_id = b where 9 * p.n >= 4 * (x.n + y.n)),
+reach as (
+  select a, b from linked union select r.a, l.b from reach r join linked l on r.b = l.a),
+class as (select a as doc_id, min(b) as low from reach group by a),
+same as (select a as doc_id, min(b) as low from linked where same group by a),
+n as (select a as doc_id, count(*) as n_links from linked group by a)
+select d.doc_id, least(d.doc_id, coalesce(class.low, d.doc_id)) as class_id,
+  coalesce(n_links, 0) as n_links, least(d.doc_id, coalesce(same.low, d.doc_id)) as copy_of,
+  coalesce(size.n, 0) as n_shingles
+from d left join class using (doc_id) left join same using (doc_id) left join n using (doc_id)
+left join size using (doc_id)
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op10_benchmark_decontamination": DECONTAMINATION}
+    return {"op5_ngram_jaccard_join": JACCARD, "op10_benchmark_decontamination": DECONTAMINATION}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perchero.llm import decontaminate, quality
+from perchero.llm import decontaminate, jaccard, quality
 from perchero.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.drop("version", "items")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(
@@ -26,6 +30,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Query]:
     return {
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op8_quality_rules": op8_quality_rules,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
