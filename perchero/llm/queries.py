@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from perchero.llm import decontaminate, jaccard, quality
+from perchero.llm import decontaminate, jaccard, packing, quality, separators, tokenfiles
 from perchero.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.drop("version", "items")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.drop("ids")
+
+
+def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.written_and_read(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,6 +46,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Query]:
     return {
+        "op2_packing": op2_packing,
+        "op4_token_id_output": op4_token_id_output,
+        "op9_token_counts": op9_token_counts,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op8_quality_rules": op8_quality_rules,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
