@@ -57,23 +57,40 @@ class Encoder(dict):
         self.flat, self.starts = array("I"), array("q", [0])
 
     def __missing__(self, piece: str) -> int:
+        ids = self._parts(piece)
         number = len(self.starts) - 1
-        self.flat.extend(self._simple(piece) or self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        self.flat.extend(ids)
         self.starts.append(len(self.flat))
         self[piece] = number
         return number
 
-    def _ids(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(map(_LETTERS.__getitem__, text.encode())))]
-
-    def _simple(self, piece: str) -> list[int] | None:
-        """A Latin-1 word, perhaps after one space and before punctuation, goes straight to the model."""
-        core = piece.rstrip(_TAIL)
-        letters = core[1:] if core[:1] == " " and self.kind == "spaced" else core
-        if self.kind == "whole" or not letters.isalpha() or max(letters) > "\xff":
-            return None
-        found = self._ids(core.lower() if self.kind == "words" else core)
-        return found + self._ids(piece[len(core):]) if len(core) < len(piece) else found
+    def _known(self, piece: str) -> array:
+        number = self[piece]
+        return self.flat[self.starts[number]: self.starts[number + 1]]
+
+    def _parts(self, piece: str) -> list[int] | array:
+        """Ids of a new piece: of its parts if the tokenizer surely cuts there, else by the tokenizer.
+
+        A Latin-1 word, perhaps after one space, goes straight to the model. Punctuation after it and
+        a line end before it are parts of their own, and case is dropped where the tokenizer does.
+        """
+        if self.kind != "whole":
+            core = piece.rstrip(_TAIL)
+            spaced = self.kind == "spaced" and core[:1] == " "
+            letters = core[1:] if spaced else core
+            if letters.isalpha() and (letters.isascii() or max(letters) <= "\xff"):
+                if len(core) < len(piece):
+                    return self._known(core) + self._known(piece[len(core):])
+                if self.kind == "words" and not letters.islower():
+                    lowered = letters.lower()
+                    if lowered != letters:
+                        return self._known(lowered)
+                if letters.isascii():
+                    return [t.id for t in self.model.tokenize("\u0120" + letters if spaced else letters)]
+                return [t.id for t in self.model.tokenize("".join(map(_LETTERS.__getitem__, core.encode())))]
+            if self.kind == "spaced" and piece[:1] == "\n" and core[1:].isalpha():
+                return self._known("\n") + self._known(piece[1:])
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str]:
         if self.kind == "whole" or _ODD_SPACE.search(text):
