@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from perchero.llm import decontaminate, jaccard, packing, pseudonyms, quality, separators, tokenfiles
+from perchero.llm import decontaminate, jaccard, packing, pseudonyms, quality, repeats, separators, tokenfiles
 from perchero.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.drop("version", "items")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.drop("ids")
@@ -51,6 +55,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Query]:
     return {
+        "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op7_pii_pseudonyms": op7_pii_pseudonyms,
         "op2_packing": op2_packing,
         "op4_token_id_output": op4_token_id_output,
