@@ -1,21 +1,49 @@
-"""The corpus pipeline: quality rules, near duplicates, decontamination, personal data, packing."""
+"""The corpus pipeline: quality rules, near duplicates, decontamination, personal data, packing.
+
+Every stage works on all rows that its predecessor kept. The first three drop documents, the fourth
+rewrites texts, the last lays the documents out as sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from perchero.llm import decontaminate
+from perchero.llm import decontaminate, jaccard, packing, pseudonyms, quality
 from perchero.llm.common import stored, table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.kept_only(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    changed = pseudonyms.replaced(docs).drop("n_replaced")
+    return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packed),
 ]
 
+#: SQL can express neither the learnt rules nor the tokenizer.
 ORACLE_SQL = None
 
 

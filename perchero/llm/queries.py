@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from perchero.llm import decontaminate, jaccard, packing, pseudonyms, quality, repeats, separators, tokenfiles
+from perchero.llm import (
+    decontaminate, jaccard, licenses, packing, pseudonyms, quality, repeats, separators, tokenfiles, toxicity,
+)
 from perchero.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.written_and_read(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -41,6 +47,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.replaced(documents)
@@ -56,11 +66,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Query]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
-        "op7_pii_pseudonyms": op7_pii_pseudonyms,
         "op2_packing": op2_packing,
+        "op3_toxicity": op3_toxicity,
         "op4_token_id_output": op4_token_id_output,
-        "op9_token_counts": op9_token_counts,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op6_license_scan": op6_license_scan,
+        "op7_pii_pseudonyms": op7_pii_pseudonyms,
         "op8_quality_rules": op8_quality_rules,
+        "op9_token_counts": op9_token_counts,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
