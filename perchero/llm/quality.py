@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from perchero.llm.common import mapped
 from perchero.llm.textblock import blocks, chained, mixed, run_hashes
@@ -268,22 +269,18 @@ def kept_only(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Dat
     is needed and rows with the same id are judged by their own text.
     """
     rules = train(docs, labels, rows)
-    names = [f"{c}__count" for c in COUNTS]
-    schema = docs.schema
-    for name in names:
-        schema = schema.add(name, "long")
-    width = len(docs.columns)
+    plain = [f"_c{i}" for i in range(len(docs.columns))]  # no clash with the counts
+    text = plain[docs.columns.index("text")]
+    renamed = docs.toDF(*plain)
+    schema = StructType([*renamed.schema.fields, *(StructField(c, LongType()) for c in COUNTS)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch):
+            for block in blocks(batch, text):
                 found = block_counts(block)
                 part = batch.slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *(pa.array(found[c]) for c in COUNTS)],
-                    names=[*part.schema.names, *names])
+                    [*part.columns, *(pa.array(found[c]) for c in COUNTS)], names=[*plain, *COUNTS])
 
-    counted = mapped(docs, count, schema)
-    inner = counted.toDF(*[f"_c{i}" for i in range(width)], *COUNTS)
-    keep = inner.where(~base_failed() & (verdict(rules) == 0))
-    return keep.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    keep = mapped(renamed, count, schema).where(~base_failed() & (verdict(rules) == 0))
+    return keep.select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)])
