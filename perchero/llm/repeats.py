@@ -21,12 +21,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perchero.llm.common import mapped, shipped, small, stored
+from perchero.llm.common import mapped, small, stored
 from perchero.llm.textblock import blocks, mixed
 
 WINDOW, SEED = 200, 32
@@ -214,21 +213,85 @@ def maximal(lefts: list[bytes], rights: list[bytes], least: int = WINDOW) -> lis
     return found
 
 
-def _group(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["frame_a", "frame_b"], kind="stable", ignore_index=True)
-    a, b = rows["frame_a"].to_numpy(), rows["frame_b"].to_numpy()
-    out = []
-    for members, left, right in maximal(list(rows["left_bytes"]), list(rows["right_bytes"])):
-        k = int(members.min())
-        some = rows["left_bytes"][k][len(rows["left_bytes"][k]) - left:] + rows["right_bytes"][k][:right]
-        name = hashlib.blake2b(some, digest_size=16).hexdigest()
-        out.append(pd.DataFrame({
-            "frame_a": a[members], "frame_b": b[members], "repeat": name,
-            "to_left": np.int64(left), "to_right": np.int64(right)}))
-    if not out:
-        return pd.DataFrame({"frame_a": a[:0], "frame_b": b[:0], "repeat": pd.Series([], dtype=str),
-                             "to_left": a[:0], "to_right": a[:0]})
-    return pd.concat(out, ignore_index=True)
+def _two(lefts: list[bytes], rights: list[bytes], least: int) -> list[tuple[np.ndarray, int, int]]:
+    """:func:`maximal` for two frames: their tree has one interval."""
+    def common(a: bytes, b: bytes) -> int:
+        n = min(len(a), len(b))
+        if a[:n] == b[:n]:
+            return n
+        return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
+    right = common(*rights)
+    left = common(lefts[0][::-1], lefts[1][::-1]) if right + REACH >= least else 0
+    return [(np.arange(2), left, right)] if left + right >= least else []
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
+    """Groups of a stream sorted by seed; only the group being read is held."""
+    held: list[list] = [[], [], [], []]
+    seed = None
+
+    def whole():
+        return held[0], held[1], np.array(held[2], np.int64), np.array(held[3], np.int64)
+
+    for batch in batches:
+        seeds = batch.column("seed").to_numpy()
+        columns = [batch.column(c).to_pylist() for c in ("left_bytes", "right_bytes", "frame_a", "frame_b")]
+        cuts = [0, *(np.flatnonzero(seeds[1:] != seeds[:-1]) + 1).tolist(), len(seeds)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            if seed is not None and int(seeds[i]) != seed:
+                yield whole()
+                held = [[], [], [], []]
+            seed = int(seeds[i])
+            for values, column in zip(held, columns, strict=True):
+                values += column[i:j]
+    if held[0]:
+        yield whole()
+
+
+def _found(group, least: int = WINDOW) -> Iterator[tuple[np.ndarray, int, int]]:
+    lefts, rights, _, _ = group
+    if len(rights) == 2:
+        yield from _two(lefts, rights, least)
+    elif len(rights) > 2:
+        yield from maximal(lefts, rights, least)
+
+
+def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per frame in any maximal repeat: how far its repeats reach to both sides."""
+    names = ["frame_a", "frame_b", "to_left", "to_right"]
+    out: list[list[np.ndarray]] = []
+    held = 0
+    for group in _groups(batches):
+        reach = np.zeros((2, len(group[0])), np.int64)
+        for members, left, right in _found(group):
+            reach[0, members] = np.maximum(reach[0, members], left)
+            reach[1, members] = np.maximum(reach[1, members], right)
+        some = np.flatnonzero(reach[1])
+        if len(some):
+            out.append([group[2][some], group[3][some], reach[0, some], reach[1, some]])
+            held += len(some)
+        if held > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
+            out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every maximal repeat with every frame that holds it."""
+    names = ["frame_a", "frame_b", "repeat", "to_left", "to_right"]
+    for group in _groups(batches):
+        for members, left, right in _found(group):
+            k = int(members[0])
+            some = group[0][k][len(group[0][k]) - left:] + group[1][k][:right]
+            name = hashlib.blake2b(some, digest_size=16).hexdigest()
+            n = len(members)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group[2][members]), pa.array(group[3][members]), pa.array([name] * n),
+                 pa.array(np.full(n, left, np.int64)), pa.array(np.full(n, right, np.int64))], names=names)
 
 
 def with_bytes(docs: DataFrame, places: DataFrame, n_places: int) -> DataFrame:
@@ -267,38 +330,34 @@ def _versioned(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeats, anchors): maximal repeats per distinct frame, and all anchors with a common seed.
-
-    Repeats: ``repeat`` (a name by content), frame_a, frame_b, and how far the repeat reaches to the
-    left and right of the anchor. Join both on the frame to get all occurrences.
-    """
+def _compared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(anchors with a common seed, distinct frames with their counts, sorted groups to compare)."""
     rows = _versioned(docs)
     seeds = frames(rows).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     seeds = stored(seeds, "seeds")
     kept = stored(frames(rows).join(small(seeds, seeds.count()), "seed"), "anchors")
     frame = ["seed", "frame_a", "frame_b"]
     first = F.min(F.struct("doc_id", "version", "at")).alias("first")
-    distinct = kept.groupBy(*frame, "left", "right").agg(F.count("*").alias("times"), first)
-    distinct = stored(distinct, "frames")
+    distinct = stored(
+        kept.groupBy(*frame, "left", "right").agg(F.count("*").alias("times"), first), "frames")
     mixed_seeds = distinct.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    compared = distinct.join(mixed_seeds, "seed").select(*frame, "left", "right", "first.*")
-    compared = stored(compared, "compared")
-    groups = with_bytes(rows, compared, compared.count())
-    shipped(docs.sparkSession)
-    across = groups.groupBy("seed").applyInPandas(
-        _group, "frame_a long, frame_b long, repeat string, to_left long, to_right long")
-    alike = distinct.where("times > 1").select(
-        "frame_a", "frame_b",
-        F.concat(F.hex("frame_a"), F.hex("frame_b")).alias("repeat"),
-        F.col("left").cast("long").alias("to_left"), F.col("right").cast("long").alias("to_right"))
-    return across.union(alike), kept
+    places = stored(
+        distinct.join(mixed_seeds, "seed").select(*frame, "left", "right", "first.*"), "compared")
+    groups = with_bytes(rows, places, places.count()).repartition("seed").sortWithinPartitions("seed")
+    return kept, distinct, groups
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """All occurrences of all maximal repeats: repeat, length, doc_id, version, start."""
-    found, anchored = repeats(docs)
-    return anchored.join(found, ["frame_a", "frame_b"]).select(
+    """All occurrences of all maximal repeats: repeat, length, doc_id, version, start.
+
+    A repeat is seen inside frames: one that is longer than a frame comes as overlapping repeats.
+    """
+    kept, distinct, groups = _compared(docs)
+    across = mapped(groups, _repeats, "frame_a long, frame_b long, repeat string, to_left long, to_right long")
+    alike = distinct.where("times > 1").select(
+        "frame_a", "frame_b", F.concat(F.hex("frame_a"), F.hex("frame_b")).alias("repeat"),
+        F.col("left").cast("long").alias("to_left"), F.col("right").cast("long").alias("to_right"))
+    return kept.join(across.union(alike), ["frame_a", "frame_b"]).select(
         "repeat", (F.col("to_left") + F.col("to_right")).alias("length"), "doc_id", "version",
         (F.col("at") - F.col("to_left")).alias("start")).distinct()
 
@@ -310,10 +369,13 @@ def removed(docs: DataFrame) -> DataFrame:
     each other. No documents give no rows. Other columns are ignored. ``kept`` is binary, as a cut
     may fall inside a character.
     """
-    found, anchored = repeats(docs)
-    reach = found.groupBy("frame_a", "frame_b").agg(
+    kept, distinct, groups = _compared(docs)
+    across = mapped(groups, _reaches, "frame_a long, frame_b long, to_left long, to_right long")
+    alike = distinct.where("times > 1").select(
+        "frame_a", "frame_b", F.col("left").cast("long").alias("to_left"), F.col("right").cast("long").alias("to_right"))
+    reach = across.union(alike).groupBy("frame_a", "frame_b").agg(
         F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
-    spans = anchored.join(reach, ["frame_a", "frame_b"]).groupBy("doc_id", "version").agg(
+    spans = kept.join(reach, ["frame_a", "frame_b"]).groupBy("doc_id", "version").agg(
         F.collect_list(F.struct(
             (F.col("at") - F.col("to_left")).alias("a"), (F.col("at") + F.col("to_right")).alias("b"))).alias("spans"))
     spans = spans.withColumnRenamed("doc_id", "span_id").withColumnRenamed("version", "span_version")
