@@ -31,7 +31,7 @@ from perchero.llm.textblock import blocks, mixed
 WINDOW, SEED = 200, 32
 REACH = WINDOW - SEED  # bytes to the left of an anchor that share a window with it
 SEGMENT = 2 << 20
-#: Frames whose bytes are fetched by a broadcast of their places, at most.
+#: Frames of which places or reaches (some 40 bytes each) are broadcast, at most.
 BROADCAST_FRAMES = 1_000_000
 
 _BYTE = mixed(np.arange(256, dtype=np.uint64) + np.uint64(77))
@@ -375,7 +375,8 @@ def removed(docs: DataFrame) -> DataFrame:
         "frame_a", "frame_b", F.col("left").cast("long").alias("to_left"), F.col("right").cast("long").alias("to_right"))
     reach = across.union(alike).groupBy("frame_a", "frame_b").agg(
         F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
-    spans = kept.join(reach, ["frame_a", "frame_b"]).groupBy("doc_id", "version").agg(
+    reach = stored(reach, "reach")
+    spans = kept.join(small(reach, reach.count(), BROADCAST_FRAMES), ["frame_a", "frame_b"]).groupBy("doc_id", "version").agg(
         F.collect_list(F.struct(
             (F.col("at") - F.col("to_left")).alias("a"), (F.col("at") + F.col("to_right")).alias("b"))).alias("spans"))
     spans = spans.withColumnRenamed("doc_id", "span_id").withColumnRenamed("version", "span_version")
