@@ -22,18 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perchero.llm.common import mapped, small, stored
+from perchero.llm.common import mapped, stored
 from perchero.llm.textblock import blocks, mixed
 
 WINDOW, SEED = 200, 32
 REACH = WINDOW - SEED  # bytes to the left of an anchor that share a window with it
 SEGMENT = 2 << 20
-#: Frames of which places or reaches (some 40 bytes each) are broadcast, at most.
-BROADCAST_FRAMES = 1_000_000
-
 _BYTE = mixed(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _DOUBLE = [mixed(np.array([k + 500], np.uint64))[0] | np.uint64(1) for k in range(5)]
 
@@ -294,19 +292,35 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.full(n, left, np.int64)), pa.array(np.full(n, right, np.int64))], names=names)
 
 
-def with_bytes(docs: DataFrame, places: DataFrame, n_places: int) -> DataFrame:
+def _compressed(rows: DataFrame) -> DataFrame:
+    """The rows with their text as ``packed``: what is shuffled by document is a third of the text."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("version"),
+                     pa.array([packer.compress(t or b"") for t in texts], pa.binary())],
+                    names=["doc_id", "version", "packed"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return mapped(rows, pack, f"doc_id {kind}, version long, packed binary")
+
+
+def with_bytes(docs: DataFrame, places: DataFrame) -> DataFrame:
     """The frames at ``places`` with the bytes of their sides."""
     by_doc = places.groupBy("doc_id", "version").agg(
         F.collect_list(F.struct("seed", "frame_a", "frame_b", "at", "left", "right")).alias("frames"))
-    if n_places <= BROADCAST_FRAMES:
-        by_doc = F.broadcast(by_doc)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in names}
-            held = 0
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("frames").to_pylist(), strict=True):
-                raw = text.encode()
+            held, unpacker = 0, zstandard.ZstdDecompressor()
+            for packed, wanted in zip(batch.column("packed").to_pylist(), batch.column("frames").to_pylist(), strict=True):
+                raw = unpacker.decompress(packed)
                 for f in wanted:
                     at = f["at"]
                     values = (f["seed"], f["frame_a"], f["frame_b"], raw[at - f["left"]: at], raw[at: at + f["right"]])
@@ -321,7 +335,7 @@ def with_bytes(docs: DataFrame, places: DataFrame, n_places: int) -> DataFrame:
 
     names = ["seed", "frame_a", "frame_b", "left_bytes", "right_bytes"]
     shape = pa.schema([(c, pa.int64()) for c in names[:3]] + [(c, pa.binary()) for c in names[3:]])
-    joined = docs.join(by_doc, ["doc_id", "version"]).select("text", "frames")
+    joined = _compressed(docs).join(by_doc, ["doc_id", "version"]).select("packed", "frames")
     return mapped(joined, cut, "seed long, frame_a long, frame_b long, left_bytes binary, right_bytes binary")
 
 
@@ -335,7 +349,7 @@ def _compared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = _versioned(docs)
     seeds = frames(rows).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     seeds = stored(seeds, "seeds")
-    kept = stored(frames(rows).join(small(seeds, seeds.count()), "seed"), "anchors")
+    kept = stored(frames(rows).join(seeds, "seed"), "anchors")
     frame = ["seed", "frame_a", "frame_b"]
     first = F.min(F.struct("doc_id", "version", "at")).alias("first")
     distinct = stored(
@@ -343,7 +357,7 @@ def _compared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     mixed_seeds = distinct.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     places = stored(
         distinct.join(mixed_seeds, "seed").select(*frame, "left", "right", "first.*"), "compared")
-    groups = with_bytes(rows, places, places.count()).repartition("seed").sortWithinPartitions("seed")
+    groups = with_bytes(rows, places).repartition("seed").sortWithinPartitions("seed")
     return kept, distinct, groups
 
 
@@ -376,22 +390,23 @@ def removed(docs: DataFrame) -> DataFrame:
     reach = across.union(alike).groupBy("frame_a", "frame_b").agg(
         F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
     reach = stored(reach, "reach")
-    spans = kept.join(small(reach, reach.count(), BROADCAST_FRAMES), ["frame_a", "frame_b"]).groupBy("doc_id", "version").agg(
+    spans = kept.join(reach, ["frame_a", "frame_b"]).groupBy("doc_id", "version").agg(
         F.collect_list(F.struct(
             (F.col("at") - F.col("to_left")).alias("a"), (F.col("at") + F.col("to_right")).alias("b"))).alias("spans"))
     spans = spans.withColumnRenamed("doc_id", "span_id").withColumnRenamed("version", "span_version")
-    rows = _versioned(docs)
+    rows = _compressed(_versioned(docs))
     same = rows["doc_id"].eqNullSafe(F.col("span_id")) & (rows["version"] == F.col("span_version"))
-    joined = rows.join(spans, same, "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, same, "left").select("doc_id", "packed", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 out: dict[str, list] = {k: [] for k in names}
                 spans_ = part.column("spans")
-                for k, text in enumerate(part.column("text").to_pylist()):
-                    raw = (text or "").encode()
+                for k, packed in enumerate(part.column("packed").to_pylist()):
+                    raw = unpacker.decompress(packed)
                     gone = gaps = 0
                     if spans_[k].is_valid:
                         inner = spans_[k].values
