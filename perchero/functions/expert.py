@@ -64,7 +64,7 @@ class _Garment:
             for a in ("type", "name", "material", "pattern", "role")
         )
         self.color = f"{prefix}primary_color"
-        self.level = f"{prefix}formality_level"
+        self.level = f"coalesce({prefix}formality_level, 3)"  # a missing level counts as 3
         self.smart = f"{self.kind} in ('formal', 'smart')"
         self.sporty = f"{self.kind} in ('sport', 'sport_casual')"
 

@@ -58,7 +58,7 @@ def garment_meta(spark: SparkSession) -> DataFrame:
     """The fixed type table (about fifty rows)."""
     rows = [
         (type_, level, role)
-        for (level, role), types in L.GARMENT_META.items() for type_ in types
+        for type_, (level, role) in L.GARMENT_META.items()
     ]
     return literal_table(spark, ["type", "base_formality", "role"], rows)
 

@@ -106,8 +106,7 @@ CTES["made_users"] = (
     f"{user_columns('c_custkey')} from customer"
 )
 CTES["meta"] = "select * from (values " + ", ".join(
-    f"({q(t)}, {level}, {q(role)})" for (level, role), types in L.GARMENT_META.items()
-    for t in types
+    f"({q(t)}, {level}, {q(role)})" for t, (level, role) in L.GARMENT_META.items()
 ) + ") as m(meta_type, base_formality, role)"
 CTES["palettes"] = "select * from (values " + ", ".join(
     f"({q(s)}, {q(g)}, {items(t)}, {items(c)}, {items(p)}, "
@@ -267,7 +266,7 @@ def flat(source: str, extra: str = "") -> str:
 # --- expert rating --------------------------------------------------------------------------------
 
 def expert_terms() -> dict[str, list[str]]:
-    tf, bf, sf = (f"{r}_formality_level" for r in ROLES)
+    tf, bf, sf = (f"coalesce({r}_formality_level, 3)" for r in ROLES)
     tr, br, sr = (f"{r}_role" for r in ROLES)
     smart = "('formal', 'smart')"
     sporty = "('sport', 'sport_casual')"
@@ -442,7 +441,7 @@ def flag(name: str, prefix: str = "") -> str:
 def rule_terms() -> dict[str, list[str]]:
     activity = "coalesce(lower(activity), '')"
     winter = "coalesce(lower(season), '') = 'invierno'"
-    temp = f"(case when coalesce(temperature, 0) = 0 then {q(20.0)} else temperature end)"
+    temp = f"(case when coalesce(temperature, 0) = 0 or isnan(temperature) then {q(20.0)} else temperature end)"
     f = {
         r: f"(case when coalesce({r}_formality_level, 0) = 0 then 3 "
            f"else {r}_formality_level end)" for r in ROLES
@@ -636,7 +635,8 @@ CTES["read"] = "select message_id, user_id, message, is_greeting, " + ", ".join(
     reading("formality_level", LEVEL),
 ]) + f""", case when not is_greeting and {USABLE} then {TERMS}
   else cast([] as varchar[]) end as avoid_items from parsed"""
-CTES["known"] = """select * from read where length(message) > 0
+CTES["known"] = f"""select * replace (is_greeting or activity = {q(L.GREETING_ACTIVITY)} as is_greeting)
+  from read where length(message) > 0
   and user_id in (select user_id from users)"""
 CTES["asked"] = """select min(message_id) as request_id, user_id, season, weather_condition,
   temperature, activity, mood, formality_level, avoid_items from known where not is_greeting

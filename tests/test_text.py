@@ -102,9 +102,9 @@ def test_descriptions(spark):
     ).alias("plain"))
     rows = df.collect()
     assert len({r.d for r in rows}) == 6  # three sentences, two adjectives
-    assert all("Presenta un diseño de rayas" in r.d for r in rows)
+    assert all("Lleva estampado: rayas." in r.d for r in rows)
     assert len({r.plain for r in rows}) == 3
-    assert "Una camisa de papel color azul." in {r.plain for r in rows}
+    assert "camisa en azul, tejido principal: papel." in {r.plain for r in rows}
 
 
 def test_prompts(spark):
