@@ -102,7 +102,7 @@ def lengths(found: DataFrame) -> DataFrame:
     """Per document of a file: ``ordinal``, ``start`` and ``n_tokens`` (without the separator)."""
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = (
-        found.withColumn("n", F.size("at")).withColumn("last", F.element_at("at", -1))
+        found.withColumn("n", F.size("at")).withColumn("last", F.try_element_at("at", F.lit(-1)))
         .withColumn("ordinals", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .withColumn("from", F.coalesce(F.max("last").over(before), F.lit(-1)) + 1)
     )
