@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,6 @@ from perchero.streaming.recommend_stream import read_stream, recommend_stream
 
 QUERIES: dict[str, Callable[[TestTables], DataFrame]] = {}
 DECIMALS = 6
-# Model sizes of the registered queries; the stored winner is a matter for a cluster.
-FOREST = {**L.BEST_PARAMS, "n_estimators": 20, "max_depth": 10}
 
 
 def query(build: Callable[[TestTables], DataFrame]) -> Callable[[TestTables], DataFrame]:
@@ -371,7 +370,7 @@ def recommend_response(t: TestTables) -> DataFrame:
         F.col(f"outfit.{r}.{f}").alias(f"{r}_{f}")
         for r in L.ROLES for f in ("id", *recommend.OUTFIT_FIELDS)
     ]
-    return rows.select("message_id", "status", "predicted_rating", *garments, "reply_prompt")
+    return rows.select("message_id", "status", "predicted_rating", *garments, "fixed_reply", "reply_prompt")
 
 
 # --- text -----------------------------------------------------------------------------------------
@@ -490,34 +489,43 @@ def actual_vs_predicted(t: TestTables) -> DataFrame:
 
 # --- models and streams (no SQL counterpart) ------------------------------------------------------
 
-def _training(t: TestTables) -> DataFrame:
-    keep = ["rating_id", "rating", *L.NUMERIC_FEATURES, *L.CATEGORICAL_FEATURES]
-    return features.add_features(t.full).select(*keep)
+def _final_model(t: TestTables) -> PipelineModel:
+    """The stored winner fitted on all ratings, once per application."""
+    path = f"{t.store}/model"
+    model = ml.load_model(t.spark, path)
+    if model is None:
+        model = ml.fit(t.training, L.BEST_PARAMS)
+        ml.save_model(model, path)
+    return model
 
 
 @query
 def ml_train_metrics(t: TestTables) -> DataFrame:
-    return ml.train_metrics(_training(t), FOREST)[1]
+    return ml.train_metrics(t.training, L.BEST_PARAMS)[1]
+
+
+@query
+def ml_training_summary(t: TestTables) -> DataFrame:
+    """Test metrics and final cross-validation of the stored winner in one row."""
+    return ml.training_summary(t.training, L.BEST_PARAMS)
 
 
 @query
 def ml_feature_importance(t: TestTables) -> DataFrame:
-    rows = _training(t)
-    return ml.feature_importance(ml.fit(rows, FOREST), rows)
+    return ml.feature_importance(_final_model(t), t.training)
 
 
 @query
 def ml_search_results(t: TestTables) -> DataFrame:
-    """A small seeded search with five folds."""
-    return ml.search(_training(t), ml.draw_params(2, tree_scale=0.01, max_depth=6))
+    """The trials that finish within the search's budget."""
+    return ml.search(t.training, ml.draw_params(ml.SEARCH_TRIALS))[0]
 
 
 @query
 def ml_scored_outfits(t: TestTables) -> DataFrame:
     """The three best outfits of every request by model prediction plus bonus."""
-    model = ml.fit(_training(t), FOREST)
     return recommend.rank_outfits(
-        t.requests, t.users, t.garments, candidates.model_predictor(model), 3
+        t.requests, t.users, t.garments, candidates.model_predictor(_final_model(t)), 3
     )
 
 

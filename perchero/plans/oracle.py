@@ -207,17 +207,13 @@ context_tables("contexts", f"""select o_orderkey as context_id, o_custkey as use
   {season_of('o_orderdate')} as season from orders""")
 context_tables("made_contexts", f"""select o_orderkey as context_id,
   {pick(L.SEASONS, 'o_orderkey', 'season')} as season from orders""")
-context_tables("latest_contexts", f"""select o_orderkey as context_id, o_custkey as user_id,
-  {season_of('o_orderdate')} as season from orders
-  qualify row_number() over (partition by o_custkey
-                             order by o_orderdate desc, o_orderkey desc) = 1""")
 CTES["requests"] = f"""select * exclude (context_id), context_id as request_id,
   case {h('context_id', 'avoid')} % 4
     when 1 then [{pick(fixture.AVOID_TERMS, 'context_id', 'avoid1')}]
     when 2 then [{pick(fixture.AVOID_TERMS, 'context_id', 'avoid1')},
                  {pick(fixture.AVOID_TERMS, 'context_id', 'avoid2')}]
     else cast([] as varchar[]) end as avoid_items
-from latest_contexts"""
+from contexts"""
 
 CTES["counts"] = """select user_id, count(*) filter (type_group = 'top') as n_top,
   count(*) filter (type_group = 'bottom') as n_bottom,
@@ -883,6 +879,7 @@ RANKED = ", ".join([
     "top_id", "bottom_id", "shoes_id", *(r6(c, c) for c in ("prediction", "bonus", "final"))
 ])
 SQL["best_outfit"] = f"select request_id, {RANKED} from ({best_of('scored', 1)})"
+SQL["stream_recommend"] = SQL["best_outfit"]
 SQL["top3_outfits"] = f"select request_id, rank, {RANKED} from ({best_of('scored', 3)})"
 LINES = " || chr(10) || ".join(
     f"'{r}: ' || {r}.name || ' (' || {r}.type || ', ' || {r}.primary_color || ')'" for r in ROLES
@@ -896,7 +893,8 @@ SQL["recommend_response"] = f"""select message_id,
   case when not is_greeting then {prompt(
       f"case when final is null then {q(text.NO_OUTFIT_LINE)} else {LINES} end",
       f"case when final is null then {q(text.NO_RATING_LINE)} "
-      "else 'Puntuación: ' || printf('%.2f', final) end")} end as reply_prompt
+      "else 'Puntuación: ' || printf('%.2f', final) end")} end as reply_prompt,
+  case when is_greeting then {q(text.GREETING_REPLY)} end as fixed_reply
 from answered {' '.join(f'left join shown {r} on {r}.garment_id = {r}_id' for r in ROLES)}"""
 SQL["greeting_flag"] = f"""select source, text_id, {greeting('text')} as is_greeting from (
   select 'conversation' as source, conv_id * 1000 + turn as text_id, text from conversations

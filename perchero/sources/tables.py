@@ -26,7 +26,9 @@ class MissingTables(Exception):
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    """A CSV file or folder; a header that differs from the schema is an error."""
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    return reader.option("multiLine", True).option("escape", '"').csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

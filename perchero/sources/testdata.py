@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perchero import lookups as L
+from perchero.functions.features import add_features
 from perchero.functions.hashing import draw, draw_below, pick
 from perchero.operators import generate
 from perchero.operators.dataset import full_dataset
@@ -158,18 +159,15 @@ class TestTables:
     def full(self) -> DataFrame:
         return full_dataset(self.ratings, self.users, self.contexts, self.garments)
 
+    @cached_property
+    def training(self) -> DataFrame:
+        """The model's inputs and labels, stored: every fit reads them again."""
+        keep = ["rating_id", "rating", *L.NUMERIC_FEATURES, *L.CATEGORICAL_FEATURES]
+        return write_table(add_features(self.full).select(*keep), f"{self.store}/training")
+
     @cached_property
     def requests(self) -> DataFrame:
-        """The latest context of each user, with drawn avoid terms."""
-        orders = self.raw("orders")
-        latest = orders.groupBy(F.col("o_custkey").alias("user_id")).agg(
-            F.max_by(F.struct("o_orderkey", "o_orderdate"),
-                     F.struct("o_orderdate", "o_orderkey")).alias("_last")
-        )
-        rows = latest.select(
-            F.col("_last.o_orderkey").alias("context_id"), "user_id",
-            season_of(F.col("_last.o_orderdate")).alias("season"),
-        )
+        """Every context, with drawn avoid terms."""
         key = F.col("request_id")
         first, second = pick(AVOID_TERMS, key, "avoid1"), pick(AVOID_TERMS, key, "avoid2")
         which = draw_below(key, "avoid", 4)
@@ -177,7 +175,7 @@ class TestTables:
             F.when(which == 1, F.array(first)).when(which == 2, F.array(first, second))
             .otherwise(F.array().cast("array<string>"))
         )
-        contexts = generate.fill_contexts(rows).withColumnRenamed("context_id", "request_id")
+        contexts = self.contexts.withColumnRenamed("context_id", "request_id")
         return contexts.withColumn("avoid_items", terms)
 
     @cached_property
