@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perchero.llm.common import small, stored, words
+from perchero.llm.common import BROADCAST_ROWS, small, stored, words
 
 WINDOW = 13
 
@@ -39,13 +39,13 @@ def _doc_words(docs: DataFrame) -> DataFrame:
         "doc_id", F.xxhash64("text").alias("version"), words(F.col("text")).alias("w"))
 
 
-def with_prefix(windows: DataFrame, docs: DataFrame) -> DataFrame:
+def with_prefix(windows: DataFrame, docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Each window with its rarest word over all documents (``prefix``) and that word's ``offset``."""
     vocabulary = stored(windows.select(F.explode("window").alias("word")).distinct(), "vocabulary")
     n = vocabulary.count()
     counts = (
         _doc_words(docs).select(F.explode("w").alias("word"))
-        .join(small(vocabulary, n), "word").groupBy("word").agg(F.count("*").alias("n"))
+        .join(small(vocabulary, n, broadcast_rows), "word").groupBy("word").agg(F.count("*").alias("n"))
     )
     ranked = (
         windows.select("window", "items", F.posexplode("window").alias("offset", "word"))
@@ -58,21 +58,32 @@ def with_prefix(windows: DataFrame, docs: DataFrame) -> DataFrame:
         F.size("window").alias("length"))
 
 
-def places(docs: DataFrame, prefixed: DataFrame, n_windows: int) -> DataFrame:
-    """Verified occurrences: doc_id, version, start (words from 0), end, items."""
-    probes = (
-        _doc_words(docs)
-        .select("doc_id", "version", "w", F.posexplode("w").alias("at", "prefix"))
-        .join(small(prefixed, n_windows), "prefix")
-    )
+def places(docs: DataFrame, prefixed: DataFrame, n_windows: int, size: int = WINDOW,
+           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Verified occurrences: doc_id, version, start (words from 0), end, items.
+
+    Up to ``broadcast_rows`` windows the document's words stay where they are. More windows are
+    joined by a shuffle, in which each word takes along only the words that a window around it can
+    cover, never its whole document.
+    """
+    probes = _doc_words(docs).select(
+        "doc_id", "version", "w", F.size("w").alias("n"), F.posexplode("w").alias("at", "prefix"))
+    if n_windows <= broadcast_rows:
+        probes = probes.withColumn("from", F.lit(0))
+    else:
+        first = F.greatest(F.col("at") - (size - 1), F.lit(0))
+        probes = probes.withColumn("from", first).withColumn(
+            "w", F.slice("w", F.col("from") + 1, F.lit(2 * size - 1)))
+    probes = probes.join(small(prefixed, n_windows, broadcast_rows), "prefix")
     start = F.col("at") - F.col("offset")
-    fits = (start >= 0) & (start + F.col("length") <= F.size("w"))
-    same = F.slice("w", start + 1, F.col("length")) == F.col("window")
+    fits = (start >= 0) & (start + F.col("length") <= F.col("n"))
+    same = F.slice("w", start - F.col("from") + 1, F.col("length")) == F.col("window")
     return probes.where(fits).where(same).select(
         "doc_id", "version", start.alias("start"), (start + F.col("length")).alias("end"), "items")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20,
+           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per document: words, words inside any window's occurrence, items found, verdict.
 
     A document is contaminated if ``n_hit > 0 and share * n_hit >= n_words``. Null and empty texts
@@ -81,8 +92,8 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int
     table are ignored.
     """
     windows = stored(item_windows(benchmark, size), "windows")
-    prefixed = stored(with_prefix(windows, docs), "prefixed")
-    found = places(docs, prefixed, prefixed.count())
+    prefixed = stored(with_prefix(windows, docs, broadcast_rows), "prefixed")
+    found = places(docs, prefixed, prefixed.count(), size, broadcast_rows)
     spans = found.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))

@@ -219,14 +219,15 @@ def test_toxicity_ignores_group_mentions(spark, docs, empty):
     assert toxicity.scored(empty, labels).count() == 0
 
 
-def test_decontamination(spark, docs, empty):
+@pytest.mark.parametrize("broadcast_rows", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontamination(spark, docs, empty, broadcast_rows):
     passage = sentence(20, 50)
     bench = spark.createDataFrame(
         [("b", passage.upper()), ("a", "short item here"), ("c", None), ("d", "...")], "item_id string, text string")
     rows = [(1, "x " + passage + " y"), (2, "a SHORT, item here."), (3, " ".join(passage.split()[:12])),
             (4, None), (5, passage.split()[0]), (6, passage + " " + sentence(400, 9))]
     got = {r.doc_id: r for r in decontaminate.report(
-        spark.createDataFrame([(i, t, 0, "n") for i, t in rows], SCHEMA), bench).collect()}
+        spark.createDataFrame([(i, t, 0, "n") for i, t in rows], SCHEMA), bench, broadcast_rows=broadcast_rows).collect()}
     assert (got[1].n_hit, got[1].n_words, got[1].items, got[1].contaminated) == (20, 22, ["b"], True)
     assert (got[2].n_hit, got[2].items) == (3, ["a"])
     assert [got[i].n_hit for i in (3, 4, 5)] == [0, 0, 0] and got[4].n_words == 0
