@@ -131,6 +131,7 @@ def token_counts(docs: DataFrame, tokenizer: str, end: int = END, block_ids: int
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     paths = order.select("path").distinct()
     rows = block_list(paths, block_ids).repartition(parts, "path", "block")
-    counted = lengths(scan(rows, end))
+    # one row per document on both sides: merged at every size, as files compress far below their size in memory
+    counted = lengths(scan(rows, end)).hint("merge")
     return order.join(counted, ["path", "ordinal"]).select(
         "doc_id", "n_tokens", "start", "ordinal", F.element_at(F.split("path", "/"), -1).alias("file"))
