@@ -8,6 +8,7 @@ go to the regex library, whose bounded-error matching verifies the edits and giv
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,22 +100,58 @@ def base_places(text: bytes) -> list[tuple[int, str]]:
     return found
 
 
+def _window(text: bytes, at: int, a: int, b: int) -> tuple[int, int]:
+    """The whole words of ``text[a:b]`` that stand on the line of ``at``; empty if a word is cut on both sides."""
+    a, b = max(a, 0), min(b, len(text))
+    a = max(a, text.rfind(b"\n", a, at) + 1)
+    end = text.find(b"\n", at, b)
+    b = b if end < 0 else end
+    if a and text[a - 1] not in b" \n":
+        a = text.find(b" ", a, b) + 1 or b
+    if b < len(text) and text[b] not in b" \n":
+        b = max(text.rfind(b" ", a, b), a)
+    return a, b
+
+
+def _occurrences(text: bytes, windows: set[tuple[int, int]], pattern, least: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of occurrences that do not overlap, best first, until no window holds another."""
+    taken: list[tuple[int, int, int]] = []
+    while windows:
+        hits = []
+        for a, b in windows:
+            if b - a >= least and (match := pattern.search(text, a, b)):
+                hits.append((sum(match.fuzzy_counts), match.start(), match.end(), a, b))
+        for n, start, end, _, _ in sorted(hits):
+            i = bisect(taken, (start, end, n))
+            if (not i or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+                taken.insert(i, (start, end, n))
+        # what the taken ones leave of each window that held a match; they begin and end at whole words
+        windows = set()
+        for _, _, _, a, b in hits:
+            i = bisect(taken, (a,))
+            for start, end, _ in taken[max(i - 1, 0):]:
+                if start >= b:
+                    break
+                if end > a:
+                    if start > a:
+                        windows.add((a, start - 1))
+                    a = min(end + 1, b)
+            windows.add((a, b))
+    return taken
+
+
 def fuzzy_places(text: bytes, patterns) -> list[tuple[int, int, int, str, str]]:
-    """(start, end, edits, notice, label) of each verified occurrence."""
+    """(start, end, edits, notice, label) of each verified occurrence.
+
+    Each seed hit is searched in a window of its own, inside its document's line, so that a better
+    match nearby does not hide a worse one.
+    """
     found = []
     for notice, label, parts, pattern, k in patterns:
-        windows: list[list[int]] = []
-        near = sorted((at - offset - k, at - offset + len(notice) + k) for offset, seed in parts for at in _places(text, seed))
-        for a, b in near:
-            a, b = max(a, 0), min(b, len(text))
-            if windows and a <= windows[-1][1]:
-                windows[-1][1] = max(windows[-1][1], b)
-            else:
-                windows.append([a, b])
-        for a, b in windows:
-            for match in pattern.finditer(text, a, b):
-                if b"\n" not in match.group():
-                    found.append((match.start(), match.end(), sum(match.fuzzy_counts), notice, label))
+        windows = {
+            _window(text, at, at - offset - k, at - offset + len(notice) + k)
+            for offset, seed in parts for at in _places(text, seed)}
+        found += [(*one, notice, label) for one in _occurrences(text, windows, pattern, len(notice) - k)]
     # where notices of different labels overlap, those with the fewest edits count
     return [
         f for f in found

@@ -177,6 +177,46 @@ def test_licenses(spark, docs, empty):
     assert licenses.scanned(docs).count() == len(ROWS) and licenses.scanned(empty).count() == 0
 
 
+def edited(text: str, n: int, seed: int) -> str:
+    """The text with n letters inside words replaced, at least four places apart."""
+    draw = random.Random(seed)
+    inner = [i for i in range(1, len(text) - 1) if " " not in text[i - 1: i + 2]]
+    places = draw.sample(inner[::4], n)
+    return "".join("q" if i in places else c for i, c in enumerate(text))
+
+
+def holds(words: list[str], notice: str, k: int) -> bool:
+    """Whether some run of whole words is within k edits of the notice."""
+    for first in range(len(words)):
+        run = " ".join(words[first:])[: len(notice) + k + 1]
+        row = list(range(len(notice) + 1))
+        for i, c in enumerate(run, 1):
+            before, row = row, [i]
+            for j, d in enumerate(notice, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (c != d)))
+            if row[-1] <= k and (i == len(run) or run[i] == " ") and i <= len(notice) + k:
+                return True
+    return False
+
+
+def test_licenses_of_neighbours(spark):
+    notice = "gnu lesser general public license"
+    k = licenses.edits(notice)
+    draw = random.Random(5)
+    texts = [" ".join([*["pad"] * draw.choice([0, 0, 1, 3]), edited(notice, n, seed), *["end"] * draw.choice([0, 0, 2])])
+             for seed in range(40) for n in (0, 1, k, k + 1)]
+    draw.shuffle(texts)
+    texts = ["gnu leser general public license", notice, notice + "xyz", "gnu", "lesser general public license", *texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in licenses.scanned(rows, {notice: "lgpl"}).collect()}
+    assert [i for i, r in found.items() if ("lgpl" in r.labels.split(",")) != holds(texts[i].split(), notice, k)] == []
+    places = [edited(notice, n, 9) for n in (k, 0, 1, 1, 0, k)]
+    one = spark.createDataFrame([(1, " ".join(places)), (2, " x ".join(places))], "doc_id long, text string")
+    for r in licenses.scanned(one, {notice: "lgpl"}).collect():
+        assert [s.edits for s in r.spans] == [k, 0, 1, 1, 0, k]
+        assert [s.first_word for s in r.spans] == [i * (4 + r.doc_id) for i in range(6)]
+
+
 def test_pseudonyms(spark, docs, empty):
     texts = ["card 4111 1111 1111 1111, bad 4111111111111112", "+1 (988) 555-2485", "42.144.35.254. 256.1.1.1",
              "2020-02-29 2021-02-29 25/12/1999 12/25/1999", "123-45-6789 000-12-3456", "a.B9@x.example.com", "", None]
