@@ -8,7 +8,7 @@ values different ones. Spelling (separators) and length stay.
 
 | kind | validation | permuted |
 |---|---|---|
-| card | 13 to 19 digits, Luhn | all digits but the last, which is computed anew |
+| card | 13 to 19 digits in a spelling of cards, Luhn | all digits but the last, which is computed anew |
 | phone | North American area and exchange codes | area, exchange and line |
 | ssn | area, group and serial in use | all parts |
 | ip | four octets | 32 bits |
@@ -29,12 +29,15 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9])(?!\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iso": r"(?<![0-9A-Za-z-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "day_first": r"(?<![0-9A-Za-z/.])[0-9]{2}([/.])[0-9]{2}\1(?:19|20)[0-9]{2}(?![0-9/])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+#: Sizes of the groups of digits in which cards are written, with one separator throughout.
+GROUPS = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1), (4, 4, 4, 2), (4, 4, 4, 3), (4, 3, 3, 3), (4, 4, 5), (6, 13), (8, 8)]
+#: Spellings that begin like one of the others: a card before a check code is tried without it first.
+LONGER = [(4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3)]
 #: In a first pass over the text, anything that may hold a value.
 HINT = "[0-9@]"
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 1900 to 2099 has 17 * 4297 days
@@ -44,6 +47,22 @@ def _pattern() -> str:
     return "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+def _cards(groups: list[tuple[int, ...]], unbroken: bool) -> str:
+    """What stands at a place where a card may open, as group 1 of a match without length.
+
+    The last group must not open a date or a number of another kind, and the first one not end one.
+    """
+    others = "|".join(f"(?:{PATTERNS[k]})" for k in ("phone", "ssn", "iso")) + r"|[0-9]{2}([/.])[0-9]{2}\2(?:19|20)[0-9]{2}"
+    spelled = ["[0-9]{13,19}"] if unbroken else []
+    for mark in " -":
+        # in "212-555-2671 1234 ..." the four digits belong to the phone number
+        apart = r"(?<![0-9]{3}[.-][0-9]{2,3}[.-])" if mark == " " else ""
+        for sizes in groups:
+            *first, last = [f"[0-9]{{{n}}}" for n in sizes]
+            spelled.append(f"{apart}{mark.join(first)}{mark}(?!{others}){last}")
+    return rf"(?<![0-9A-Za-z])(?=((?:{'|'.join(spelled)})(?![0-9])))"
+
+
 def _hash(key: str, kind: str, number: Column, other: Column) -> Column:
     """A keyed round value of 60 bits."""
     text = F.concat(F.lit(f"{key}|{kind}|"), number.cast("string"), F.lit("|"), other.cast("string"))
@@ -228,37 +247,66 @@ def pseudonym(token: Column, key: str) -> Column:
         .when(whole("phone"), _phone(token, key))
         .when(whole("ssn"), _ssn(token, key))
         .when(whole("iso"), _iso(token, key))
-        .when(whole("day_first"), _day_first(token, key))
-        .otherwise(_card(token, key)))
+        .when(whole("day_first"), _day_first(token, key)))
+
+
+def _valid_cards(text: Column) -> Column:
+    """The different cards of a text, those of the longer spellings last."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (_cards(GROUPS, True), _cards(LONGER, False))]
+    return F.filter(F.array_distinct(F.concat(*found)), lambda t: _let(_digits(t), lambda d: _luhn_sum(d, False) % 10 == 0))
+
+
+def _spelled_anew(gaps: Column, pairs: Column) -> Column:
+    """Struct (text, n): the gaps (such structs) with the new values between them."""
+    def text(x: Column) -> Column:
+        def joined(gap: Column, i: Column) -> Column:
+            pair = F.get(x["pairs"], i)
+            return F.concat(gap["text"], F.coalesce(pair["new"], pair["found"], F.lit("")))
+        return F.array_join(F.transform(x["gaps"], joined), "")
 
+    def count(x: Column) -> Column:
+        inner = F.aggregate(x["gaps"], F.lit(0).cast("long"), lambda n, gap: n + gap["n"])
+        return inner + F.size(F.filter(x["pairs"], lambda p: p["new"].isNotNull()))
 
-def _pairs(text: Column, key: str) -> Column:
-    """Array of (found, new) per candidate, in order."""
-    found = F.regexp_extract_all(text, F.lit(_pattern()), F.lit(0))
-    return F.transform(found, lambda t: F.struct(t.alias("found"), pseudonym(t, key).alias("new")))
+    return _let(F.struct(gaps.alias("gaps"), pairs.alias("pairs")), lambda x: F.struct(text(x).alias("text"), count(x).alias("n")))
+
+
+def _changed(text: Column, pattern: Column, new, gap) -> Column:
+    """Struct (text, n): ``new`` of each match, null to keep it, and ``gap`` of what lies between."""
+    pairs = F.transform(
+        F.regexp_extract_all(text, pattern, F.lit(0)), lambda t: F.struct(t.alias("found"), new(t).alias("new")))
+    return _spelled_anew(F.transform(F.split(text, pattern), gap), pairs)
+
+
+def _without_cards(text: Column, key: str) -> Column:
+    return _changed(
+        text, F.lit(_pattern()), lambda t: pseudonym(t, key),
+        lambda gap: F.struct(gap.alias("text"), F.lit(0).cast("long").alias("n")))
+
+
+def _all_changed(text: Column, key: str) -> Column:
+    def with_cards(cards: Column) -> Column:
+        # cards are digits, blanks and hyphens: nothing to escape
+        these = F.concat(F.lit("(?<![0-9A-Za-z])(?:"), F.array_join(cards, "|"), F.lit(")(?![0-9])"))
+        return F.when(
+            F.size(cards) > 0, _changed(text, these, lambda t: _card(t, key), lambda gap: _without_cards(gap, key))
+        ).otherwise(_without_cards(text, key))
+    return _let(_valid_cards(text), with_cards)
 
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with ``text`` pseudonymised and ``n_replaced``, the number of values, added.
 
     Texts without a value, null and empty ones are unchanged with 0 values; candidates that do not
-    validate stay. Rows are treated one by one, so repeated
+    validate stay, and what is inside them is searched. Rows are treated one by one, so repeated
     rows and empty tables need no rule; all other columns pass through.
     """
     names = docs.columns
     mine = {c: f"_c{i}" for i, c in enumerate(names)}
     inner = docs.toDF(*mine.values())
     text = F.col(mine["text"])
-    pairs = F.when(text.rlike(HINT), _pairs(text, key))
-    gaps = F.when(text.rlike(HINT), F.split(text, _pattern()))
-    inner = inner.withColumn("_pairs", pairs).withColumn("_gaps", gaps)
-
-    def joined(gap: Column, i: Column) -> Column:
-        pair = F.get(F.col("_pairs"), i)
-        return F.concat(gap, F.coalesce(pair["new"], pair["found"], F.lit("")))
-
-    changed = F.when(F.size("_pairs") > 0, F.array_join(F.transform("_gaps", joined), "")).otherwise(text)
-    count = F.size(F.filter(F.coalesce("_pairs", F.array().cast("array<struct<found:string,new:string>>")), lambda p: p["new"].isNotNull()))
+    inner = inner.withColumn("_new", F.when(text.rlike(HINT), _all_changed(text, key)))
+    changed = F.coalesce(F.col("_new")["text"], text)
     return inner.select(
         *[(changed if c == "text" else F.col(mine[c])).alias(c) for c in names],
-        count.cast("long").alias("n_replaced"))
+        F.coalesce(F.col("_new")["n"], F.lit(0)).cast("long").alias("n_replaced"))

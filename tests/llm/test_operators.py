@@ -232,6 +232,33 @@ def test_pseudonyms(spark, docs, empty):
     assert pseudonyms.replaced(docs).count() == len(ROWS) and pseudonyms.replaced(empty).count() == 0
 
 
+def test_pseudonyms_next_to_other_numbers(spark):
+    card, spaced, hyphens, amex = "4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005"
+    # the text and its values; everything else must stay as it is
+    texts = [
+        (f"{spaced} 12/27", [spaced]), (f"{card} 123", [card]), (f"{card} 12/27 123", [card]), (f"{amex} 01/28", [amex]),
+        (f"{hyphens} 123", [hyphens]), (f"no. 7 {spaced}", [spaced]), (f"1234 {spaced}", [spaced]), (f"123456 {card}", [card]),
+        (f"212 155 {spaced}", [spaced]), ("order 123456 2020-01-15", ["2020-01-15"]),
+        ("room 4021 415-555-2671", ["415-555-2671"]), ("1234 5678 1234 5678 415 555 2671", ["415 555 2671"]),
+        ("4111111111111112 123-45-6789", ["123-45-6789"]), (f"{spaced} {spaced} 415-555-2671", [spaced, spaced, "415-555-2671"]),
+        ("4021 10.20.30.40 5105105105105100", ["10.20.30.40", "5105105105105100"]), (f"{card} 2020-01-15", [card, "2020-01-15"]),
+        ("4222 2222 2222 2", ["4222 2222 2222 2"]), ("123456 25/12/1999", ["25/12/1999"]), (f"{spaced} 25/12/1999", [spaced, "25/12/1999"]),
+    ]
+    alone = sorted({v for _, values in texts for v in values})
+    rows = spark.createDataFrame(list(enumerate([*alone, *(t for t, _ in texts)])), "doc_id long, text string")
+    out = [(r.text, r.n_replaced) for r in pseudonyms.replaced(rows).orderBy("doc_id").collect()]
+    new = {v: t for v, (t, _) in zip(alone, out, strict=False)}
+    assert all(new[v] != v for v in alone)
+    wrong = []
+    for (text, values), got in zip(texts, out[len(alone):], strict=True):
+        want = text
+        for v in sorted(set(values), key=len, reverse=True):
+            want = want.replace(v, new[v])
+        if got != (want, len(values)):
+            wrong.append((text, got, want))
+    assert wrong == []
+
+
 def test_quality(spark, docs, empty):
     good = [(i, sentence(80, i)) for i in range(100, 140)]
     junk = [(i, " ".join(w + "&&&" for w in sentence(80, i).split())) for i in range(200, 240)]
