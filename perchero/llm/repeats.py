@@ -335,7 +335,10 @@ def with_bytes(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     names = ["seed", "frame_a", "frame_b", "left_bytes", "right_bytes"]
     shape = pa.schema([(c, pa.int64()) for c in names[:3]] + [(c, pa.binary()) for c in names[3:]])
-    joined = _compressed(docs).join(by_doc, ["doc_id", "version"]).select("packed", "frames")
+    by_doc = by_doc.withColumnRenamed("doc_id", "frames_id").withColumnRenamed("version", "frames_version")
+    rows = _compressed(docs)
+    same = rows["doc_id"].eqNullSafe(F.col("frames_id")) & (rows["version"] == F.col("frames_version"))
+    joined = rows.join(by_doc, same).select("packed", "frames")
     return mapped(joined, cut, "seed long, frame_a long, frame_b long, left_bytes binary, right_bytes binary")
 
 

@@ -76,6 +76,32 @@ def test_repeats(docs, empty):
         assert r.length >= 200 and text[r.start: r.start + r.length] in dict(ROWS)[16 - r.doc_id]
 
 
+def removed_by_hand(rows):
+    """What :func:`repeats.removed` gives, from all places of all 200-byte windows."""
+    texts = [(t or "").encode() for _, t in rows]
+    places = {}
+    for k, raw in enumerate(texts):
+        for p in range(len(raw) - 199):
+            places.setdefault(raw[p: p + 200], []).append((k, p))
+    covered = [np.zeros(len(raw), bool) for raw in texts]
+    for found in places.values():
+        for k, p in found if len(found) > 1 else []:
+            covered[k][p: p + 200] = True
+    return sorted(
+        ("" if i is None else str(i), str(int(c.sum())), hashlib.sha256(np.frombuffer(raw, np.uint8)[~c].tobytes()).hexdigest())
+        for (i, _), raw, c in zip(rows, texts, covered, strict=True))
+
+
+def test_repeats_with_null_ids(spark):
+    passage = noise(300, 20)
+    rows = [(None, noise(400, 21) + passage + noise(400, 22)), (5, noise(500, 23) + passage + noise(300, 24)),
+            (6, noise(450, 25) + passage[:250] + noise(350, 26)), (None, noise(900, 27))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = removed_by_hand(rows)
+    assert sum(n != "0" for _, n, _ in want) == 3
+    assert keyed(repeats.removed(docs).collect(), "doc_id", "n_removed", "kept_sha256") == want
+
+
 def test_interval_tree_finds_all_occurrences():
     core = noise(40, 7, "ab").encode()
     lefts = [b"p" * 168, b"p" * 168, b"q" + b"p" * 167]
