@@ -10,9 +10,12 @@
    r, its members are ranked by their reversed left sides; runs whose common left extension l
    reaches 200 - r, and whose members continue with different bytes on both sides, are maximal
    repeats (inside the frame), and all members are their occurrences.
+   A group of more than ``CROWDED`` frames is not scanned in one task: of each of its frames, the 200-byte
+   windows that hold the seed are counted by hash (:func:`crowded_reaches`). Every repeat is the union of
+   such windows, so the reach of a frame is that of its windows seen in other frames too.
 4. The occurrences of all groups are united per document.
 
-Hashes only select; equality of frames is by 128 bits.
+Hashes only select; equality of frames and windows is by 128 bits.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from perchero.llm.textblock import blocks, mixed
 WINDOW, SEED = 200, 32
 REACH = WINDOW - SEED  # bytes to the left of an anchor that share a window with it
 SEGMENT = 2 << 20
+#: The most frames of one seed, or rows of one window, that a single task takes together.
+CROWDED = 10_000
 _BYTE = mixed(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _DOUBLE = [mixed(np.array([k + 500], np.uint64))[0] | np.uint64(1) for k in range(5)]
 
@@ -211,6 +216,70 @@ def maximal(lefts: list[bytes], rights: list[bytes], least: int = WINDOW) -> lis
     return found
 
 
+def _spans(rows: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
+    """Per frame and span (bytes to the left, bytes to the right) that lies in it: ``size`` to the left and hash.
+
+    Spans whose left size is outside the row's ``low`` to ``high`` are left out.
+    """
+    names = ["frame_a", "frame_b", "size", "span_a", "span_b"]
+    sizes, ends = np.array(spans, np.int64).T
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                lefts, rights = (part.column(c).to_pylist() for c in ("left_bytes", "right_bytes"))
+                data = np.frombuffer(b"".join(x for both in zip(lefts, rights, strict=True) for x in both), np.uint8)
+                left, right = (np.array([len(x) for x in side], np.int64) for side in (lefts, rights))
+                at = np.cumsum(left + right) - right
+                low, high = (part.column(c).to_numpy()[:, None] for c in ("low", "high"))
+                inside = (sizes <= left[:, None]) & (ends <= right[:, None]) & (sizes >= low) & (sizes <= high)
+                row, span = np.nonzero(inside)
+                start, end = at[row] - sizes[span], at[row] + ends[span]
+                hashes = [_span_hash(data, power, salt, start, end).view(np.int64) for salt, power in enumerate(_POWERS)]
+                index = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("frame_a").take(index), part.column("frame_b").take(index), pa.array(sizes[span]),
+                     *(pa.array(h) for h in hashes)], names=names)
+
+    return mapped(rows, cut, "frame_a long, frame_b long, size long, span_a long, span_b long")
+
+
+def _shared(rows: DataFrame, spans: list[tuple[int, int]], crowded: int) -> DataFrame:
+    """Per frame with a span that another frame has at the same place: the least and largest ``size`` of those.
+
+    Spans of more than ``crowded`` frames are few and go to all tasks; the other joins have small keys.
+    """
+    key = ["size", "span_a", "span_b"]
+    cut = _spans(rows, spans)
+    counts = stored(cut.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "spans")
+    many = F.broadcast(counts.where(F.col("n") > crowded).drop("n").withColumn("many", F.lit(True)))
+    marked = cut.join(many, key, "left")
+    few = marked.where("many is null").drop("many").join(counts.where(F.col("n") <= crowded).drop("n"), key, "left_semi")
+    found = marked.where("many").drop("many").unionByName(few)
+    return found.groupBy("frame_a", "frame_b").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+
+
+def crowded_reaches(rows: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """What :func:`_reaches` gives, of frames whose groups are too large for one task.
+
+    A window has 84 bytes or more left of its anchor, or 117 or more right of it: frames that share
+    neither with another one are dropped before windows are made.
+    """
+    whole = rows.dropDuplicates(["frame_a", "frame_b"]).select("frame_a", "frame_b", "left_bytes", "right_bytes")
+    whole = stored(whole, "crowded")
+    half = REACH // 2
+    part = _shared(
+        whole.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(REACH).cast("long")),
+        [(0, WINDOW - half + 1), (half, SEED)], crowded)
+    part = part.select(
+        "frame_a", "frame_b", F.when(F.col("low") == 0, 0).otherwise(half).cast("long").alias("low"),
+        F.when(F.col("high") == half, REACH).otherwise(half - 1).cast("long").alias("high"))
+    kept = stored(whole.join(part, ["frame_a", "frame_b"]), "crowded_kept")
+    reach = _shared(kept, [(n, WINDOW - n) for n in range(REACH + 1)], crowded)
+    return reach.select("frame_a", "frame_b", F.col("high").alias("to_left"), (WINDOW - F.col("low")).alias("to_right"))
+
+
 def _two(lefts: list[bytes], rights: list[bytes], least: int) -> list[tuple[np.ndarray, int, int]]:
     """:func:`maximal` for two frames: their tree has one interval."""
     def common(a: bytes, b: bytes) -> int:
@@ -347,8 +416,11 @@ def _versioned(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
 
 
-def _compared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(anchors with a common seed, distinct frames with their counts, sorted groups to compare)."""
+def _compared(docs: DataFrame, crowded: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(anchors with a common seed, distinct frames with their counts, sorted groups to compare, crowded rows).
+
+    Groups of more than ``crowded`` frames are not among the groups to compare; their rows come last, if any.
+    """
     rows = _versioned(docs)
     seeds = frames(rows).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     seeds = stored(seeds, "seeds")
@@ -357,19 +429,25 @@ def _compared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = F.min(F.struct("doc_id", "version", "at")).alias("first")
     distinct = stored(
         kept.groupBy(*frame, "left", "right").agg(F.count("*").alias("times"), first), "frames")
-    mixed_seeds = distinct.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    places = stored(
-        distinct.join(mixed_seeds, "seed").select(*frame, "left", "right", "first.*"), "compared")
+    mixed_seeds = distinct.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
+    compared = distinct.join(mixed_seeds, "seed").select(*frame, "left", "right", "first.*", "n")
+    if crowded is None:
+        places, rest = stored(compared.drop("n"), "compared"), None
+    else:
+        compared = stored(compared.withColumn("crowded", F.col("n") > crowded).drop("n"), "compared")
+        places, rest = compared.where("not crowded").drop("crowded"), compared.where("crowded").drop("crowded")
+        rest = None if rest.isEmpty() else with_bytes(rows, rest)
     groups = with_bytes(rows, places).repartition("seed").sortWithinPartitions("seed")
-    return kept, distinct, groups
+    return kept, distinct, groups, rest
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """All occurrences of all maximal repeats: repeat, length, doc_id, version, start.
 
     A repeat is seen inside frames: one that is longer than a frame comes as overlapping repeats.
+    All frames of a seed are scanned in one task here, however many there are.
     """
-    kept, distinct, groups = _compared(docs)
+    kept, distinct, groups, _ = _compared(docs)
     across = mapped(groups, _repeats, "frame_a long, frame_b long, repeat string, to_left long, to_right long")
     alike = distinct.where("times > 1").select(
         "frame_a", "frame_b", F.concat(F.hex("frame_a"), F.hex("frame_b")).alias("repeat"),
@@ -379,15 +457,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
         (F.col("at") - F.col("to_left")).alias("start")).distinct()
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Per document: bytes, bytes inside a repeat, runs of those, SHA-256 of the rest, and the rest.
 
     Null texts count as empty; texts under 200 bytes have no repeats. Repeated rows are repeats of
     each other. No documents give no rows. Other columns are ignored. ``kept`` is binary, as a cut
     may fall inside a character.
     """
-    kept, distinct, groups = _compared(docs)
+    kept, distinct, groups, rest = _compared(docs, crowded)
     across = mapped(groups, _reaches, "frame_a long, frame_b long, to_left long, to_right long")
+    if rest is not None:
+        across = across.unionByName(crowded_reaches(rest, crowded))
     alike = distinct.where("times > 1").select(
         "frame_a", "frame_b", F.col("left").cast("long").alias("to_left"), F.col("right").cast("long").alias("to_right"))
     reach = across.union(alike).groupBy("frame_a", "frame_b").agg(

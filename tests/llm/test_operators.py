@@ -102,6 +102,21 @@ def test_repeats_with_null_ids(spark):
     assert keyed(repeats.removed(docs).collect(), "doc_id", "n_removed", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("crowded", [1, 12])
+def test_repeats_of_crowded_seeds(spark, crowded):
+    boiler = noise(330, 30)
+    draw = random.Random(31)
+    rows = list(ROWS)
+    for i in range(100, 140):
+        a, b = draw.randrange(0, 90), draw.randrange(240, 331)
+        rows.append((i, noise(draw.randrange(0, 250), 2 * i) + boiler[a:b] + noise(draw.randrange(0, 250), 2 * i + 1)))
+    rows += [(200 + i, "-" * (150 + 30 * i) + noise(200, 300 + i)) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, _, groups, rest = repeats._compared(docs, crowded)
+    assert rest is not None and groups.groupBy("seed").agg(F.countDistinct("frame_a").alias("n")).where(F.col("n") > crowded).isEmpty()
+    assert keyed(repeats.removed(docs, crowded).collect(), "doc_id", "n_removed", "kept_sha256") == removed_by_hand(rows)
+
+
 def test_interval_tree_finds_all_occurrences():
     core = noise(40, 7, "ab").encode()
     lefts = [b"p" * 168, b"p" * 168, b"q" + b"p" * 167]
