@@ -234,13 +234,18 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[list[Condition]]:
-    """Learn from at most ``rows`` labelled documents; labels that are null are left out."""
+    """Learn from at most ``rows`` labelled documents; labels that are null are left out.
+
+    Of rows with the same id and label one is taken, picked by a hash of its counts.
+    """
     sample = (
-        labels.where("quality is not null and doc_id is not null").select("doc_id", "quality")
+        labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     )
     picked = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi")
-    joined = statistics(picked).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "quality").limit(2 * rows).collect()
+    one = F.min_by(F.struct(*COUNTS), F.xxhash64(*COUNTS)).alias("one")
+    joined = statistics(picked).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(one).select(
+        "doc_id", "quality", "one.*").orderBy("doc_id", "quality").collect()
     if not joined:
         return []
     counts = {c: np.array([r[c] for r in joined], np.int64) for c in COUNTS}

@@ -172,13 +172,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: float = COUNTERFACTUAL) -> Model:
-    """Fit on at most ``rows`` labelled rows that are not held out; null labels are left out."""
+    """Fit on at most ``rows`` labelled rows that are not held out; null labels are left out.
+
+    Of rows with the same id and label one is taken, picked by a hash of its text.
+    """
     sample = (
         labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-        .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+        .select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
     )
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
     counts = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     n_ones, n_zeros = counts.get(1, 0), counts.get(0, 0)
     if not n_ones or not n_zeros:
@@ -209,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: f
     found = mapped(
         labelled.select("doc_id", "text", "toxic").select("text", "toxic"), extract,
         "toxic int, own array<bigint>, other array<bigint>")
-    sets = found.sort("toxic", "own", "other").limit(2 * rows).collect()
+    sets = found.sort("toxic", "own", "other").collect()
 
     def matrix(lists) -> np.ndarray:
         out = np.zeros((len(lists), len(features)), np.float32)

@@ -314,6 +314,23 @@ def test_quality(spark, docs, empty):
     assert quality.judged(empty, labels).count() == 0
 
 
+def test_training_with_an_often_repeated_id(spark):
+    rows = 100
+    good = [(i, sentence(80, i)) for i in range(100, 130)]
+    junk = [(i, " ".join(w + "&&&" for w in sentence(80, i).split())) for i in range(200, 230)]
+    both = spark.createDataFrame(good + junk + good[:1] * 3 * rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i, _ in good + junk], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.kept_only(both, labels, rows).collect()}
+    assert kept == {i for i, _ in good}
+    free = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    block = [(i, sentence(6, i) + (" idiot " if i % 2 else " ") + sentence(5, -i), i % 2) for i in free]
+    often = next((i, t) for i, t, x in block if not x)
+    texts = spark.createDataFrame([(i, t) for i, t, _ in block] + [often] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in block], "doc_id long, quality int, toxic int")
+    scores = toxicity.train(texts, labels, 200).scores(Block(pa.array(["we met at the park", "what an idiot"]), 0))
+    assert scores[0] < 0.5 < scores[1]
+
+
 def test_toxicity_ignores_group_mentions(spark, docs, empty):
     block = [(i, f"{sentence(6, i)} {'women' if i % 4 else 'men'} idiot {sentence(5, -i)}", 1) for i in range(1, 200)]
     block += [(i, sentence(12, i) + (" men" if i % 9 == 0 else ""), 0) for i in range(1000, 1400)]
