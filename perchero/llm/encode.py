@@ -2,7 +2,8 @@
 
 A text is cut where the tokenizer always cuts (before white space), and pieces are looked up in a
 bounded table of the worker process; only new pieces reach the tokenizer. The ids equal those of
-encoding the text as a whole. Tokenizers of another kind than the two known ones get whole texts.
+encoding the text as a whole. Tokenizers of another kind than the two known ones get whole texts, and
+so does any text that holds the string of a special token, where those are read as such.
 """
 
 from __future__ import annotations
@@ -37,10 +38,16 @@ _LETTERS = _byte_letters()
 class Encoder(dict):
     """Piece -> number in the table of known pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
+        """With ``special``, strings of special tokens give their ids, as the tokenizer does when loaded."""
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        tokens = self.tokenizer.get_added_tokens_decoder().values() if special else []
+        self.special = [t.content for t in tokens if t.content]
+        # those sought in the normalised text may stand in another case
+        folded = [re.escape(t.content) for t in tokens if t.content and t.normalized]
+        self.folded = re.compile("|".join(folded), re.IGNORECASE) if folded else None
         self.model = self.tokenizer.model
         before = str(self.tokenizer.pre_tokenizer)
         if self.tokenizer.normalizer is None and before.startswith("ByteLevel(add_prefix_space=False") \
@@ -74,7 +81,7 @@ class Encoder(dict):
         A Latin-1 word, perhaps after one space, goes straight to the model. Punctuation after it and
         a line end before it are parts of their own, and case is dropped where the tokenizer does.
         """
-        if self.kind != "whole":
+        if self.kind != "whole" and not self.holds_special(piece):
             core = piece.rstrip(_TAIL)
             spaced = self.kind == "spaced" and core[:1] == " "
             letters = core[1:] if spaced else core
@@ -92,8 +99,11 @@ class Encoder(dict):
                 return self._known("\n") + self._known(piece[1:])
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
+    def holds_special(self, text: str) -> bool:
+        return any(t in text for t in self.special) or bool(self.folded and self.folded.search(text))
+
     def pieces(self, text: str) -> list[str]:
-        if self.kind == "whole" or _ODD_SPACE.search(text):
+        if self.kind == "whole" or _ODD_SPACE.search(text) or self.holds_special(text):
             return [text] if text else []
         return text.split() if self.kind == "words" else _PIECES.findall(text)
 
@@ -126,14 +136,14 @@ class Encoder(dict):
         return self[key]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]
 
 
 def block_texts(block: Block) -> list[str]:

@@ -78,7 +78,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """Per document: doc_id, key, n_tokens (with the end id), ids (little-endian, 32 bits)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder_ = encoder(tokenizer)
+        encoder_ = encoder(tokenizer, special=True)
         for batch in batches:
             for block in blocks(batch):
                 ids, counts = encoder_.encode(block_texts(block), end)

@@ -138,7 +138,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> DataF
         parts, *order).sortWithinPartitions(*order)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, encoder_ = TaskContext.get(), encoder(tokenizer)
+        context, encoder_ = TaskContext.get(), encoder(tokenizer, special=True)
         number, sink, writer = context.partitionId(), None, None
         store, root = fs.FileSystem.from_uri(folder)
         mine = f"{root}/attempt-{context.taskAttemptId()}-{uuid.uuid4().hex}"

@@ -167,6 +167,26 @@ def test_encoder_equals_the_tokenizer(path):
         assert ids[end - n: end].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_special_tokens_as_the_tokenizer_reads_them(spark, path):
+    tokenizer = Tokenizer.from_file(path)  # as loaded
+    names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in names
+    texts = ["plain words, two.", "a<|endoftext|>b", *[f"one {t} two \n\n{t}{t.upper()} x  {t}  " for t in names], *names]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    pieces = sorted(packing.packed(docs, path, 64).collect(), key=lambda p: (p.doc_id, p.start))
+    for i, ids in want.items():
+        raw = b"".join(p.ids for p in pieces if p.doc_id == i)
+        assert np.frombuffer(raw, "<u4")[:-1].tolist() == ids
+    for r in tokenfiles.written_and_read(docs, path).collect():
+        assert r.n_tokens == len(want[r.doc_id]) + 1
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    for r in separators.token_counts(docs, path).collect():
+        assert r.n_tokens == len(plain.encode(texts[r.doc_id], add_special_tokens=False).ids)
+
+
 def test_token_files(docs, empty):
     tokenizer = Tokenizer.from_file(BYTE)
     tokenizer.encode_special_tokens = True
