@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from perchero.llm.oracle_more import codes, trie
+
 WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
     "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -59,4 +61,9 @@ left join size using (doc_id)
 
 
 def oracle() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": JACCARD, "op10_benchmark_decontamination": DECONTAMINATION}
+    return {
+        "op5_ngram_jaccard_join": JACCARD,
+        "op10_benchmark_decontamination": DECONTAMINATION,
+        "op11_conversation_trie": trie(),
+        "op12_vector_codes": codes(),
+    }

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from perchero.llm import (
-    decontaminate, jaccard, licenses, packing, pseudonyms, quality, repeats, separators, tokenfiles, toxicity,
+    codebooks, conversation_trie, decontaminate, jaccard, licenses, packing, pseudonyms, quality, repeats, separators,
+    tokenfiles, toxicity,
 )
 from perchero.llm.common import table
 
@@ -63,6 +64,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept", "rule")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compressed(table(spark, sf_dir, "embeddings"))[0]
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -75,4 +84,6 @@ def registered() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_vector_codes": op12_vector_codes,
     }
