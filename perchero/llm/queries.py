@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from perchero.llm import (
-    codebooks, conversation_trie, decontaminate, jaccard, licenses, packing, pseudonyms, quality, repeats, separators,
-    tokenfiles, toxicity,
+    codebooks, conversation_trie, decontaminate, jaccard, licenses, packing, pitman_yor, pseudonyms, quality,
+    repeats, separators, tokenfiles, toxicity,
 )
 from perchero.llm.common import table
 
@@ -72,6 +72,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compressed(table(spark, sf_dir, "embeddings"))[0]
 
 
+def op13_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scored(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -86,4 +90,5 @@ def registered() -> dict[str, Query]:
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
         "op11_conversation_trie": op11_conversation_trie,
         "op12_vector_codes": op12_vector_codes,
+        "op13_pitman_yor": op13_pitman_yor,
     }
