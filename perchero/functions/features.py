@@ -99,6 +99,17 @@ def temp_material_match(prepared: bool = False) -> Column:
     ], number(0.5)))
 
 
+def share_kinds() -> dict[str, str]:
+    """Which share each serving context asks for: of the style, and 1 summer, 2 winter or 0 neither."""
+    known = among(_style("serve"), list(L.STYLE_PREFS["serve"]))
+    return {
+        "style": f"coalesce({known}, false)",
+        "season_kind": case([("lower(season) = 'verano'", "1"), ("lower(season) = 'invierno'", "2")], "0"),
+        "temp_kind": case([
+            ("isnan(temperature)", "0"), ("temperature > 25", "1"), ("temperature < 10", "2")], "0"),
+    }
+
+
 def feature_columns(variant: str = "train", prepared: bool = False) -> dict[str, Column]:
     """All nine features; ``prepared`` reads the per-garment hits instead of the texts."""
     return {

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from perchero.functions import expert, features, rules, text
 from perchero.functions.hashing import draw_below
 from perchero.operators import candidates, changes, dataset, evaluate, generate, ml, recommend
 from perchero.operators import wardrobe
+from perchero.operators.trees import Ensemble
 from perchero.session import scratch_path
 from perchero.sources.testdata import TestTables, load
 from perchero.streaming.recommend_stream import read_stream, recommend_stream
@@ -489,13 +489,13 @@ def actual_vs_predicted(t: TestTables) -> DataFrame:
 
 # --- models and streams (no SQL counterpart) ------------------------------------------------------
 
-def _final_model(t: TestTables) -> PipelineModel:
-    """The stored winner fitted on all ratings, once per application."""
-    path = f"{t.store}/model"
-    model = ml.load_model(t.spark, path)
+def _final_model(t: TestTables) -> Ensemble:
+    """The stored winner fitted on all ratings, published once per application."""
+    registry = ml.Registry(t.spark, f"{t.store}/models")
+    model = registry.current()
     if model is None:
         model = ml.fit(t.training, L.BEST_PARAMS)
-        ml.save_model(model, path)
+        registry.publish(model)
     return model
 
 
@@ -512,13 +512,13 @@ def ml_training_summary(t: TestTables) -> DataFrame:
 
 @query
 def ml_feature_importance(t: TestTables) -> DataFrame:
-    return ml.feature_importance(_final_model(t), t.training)
+    return ml.feature_importance(_final_model(t).node_table(t.spark))
 
 
 @query
 def ml_search_results(t: TestTables) -> DataFrame:
     """The trials that finish within the search's budget."""
-    return ml.search(t.training, ml.draw_params(ml.SEARCH_TRIALS))[0]
+    return ml.search(ml.prepare(t.training), ml.draw_params(ml.SEARCH_TRIALS))[0]
 
 
 @query
