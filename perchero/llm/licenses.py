@@ -8,7 +8,7 @@ go to the regex library, whose bounded-error matching verifies the edits and giv
 
 from __future__ import annotations
 
-from bisect import bisect
+from bisect import bisect, bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,29 +113,50 @@ def _window(text: bytes, at: int, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _accepted(hits: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of the matches (start, end, edits) those that do not overlap, fewest edits first, in text order.
+
+    Only matches of one chain of overlaps are compared.
+    """
+    chains: list[list[tuple[int, int, int]]] = []
+    reach = -1
+    for hit in sorted(hits):
+        if hit[0] >= reach:
+            chains.append([])
+        chains[-1].append(hit)
+        reach = max(reach, hit[1])
+    out = []
+    for chain in chains:
+        taken: list[tuple[int, int, int]] = []
+        for start, end, n in sorted(chain, key=lambda h: (h[2], h[0], h[1])):
+            i = bisect(taken, (start, end, n))
+            if (not i or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+                taken.insert(i, (start, end, n))
+        out += taken
+    return out
+
+
 def _occurrences(text: bytes, windows: set[tuple[int, int]], pattern, least: int) -> list[tuple[int, int, int]]:
     """(start, end, edits) of occurrences that do not overlap, best first, until no window holds another."""
     taken: list[tuple[int, int, int]] = []
     while windows:
-        hits = []
+        hits = {}
         for a, b in windows:
             if b - a >= least and (match := pattern.search(text, a, b)):
-                hits.append((sum(match.fuzzy_counts), match.start(), match.end(), a, b))
-        for n, start, end, _, _ in sorted(hits):
-            i = bisect(taken, (start, end, n))
-            if (not i or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
-                taken.insert(i, (start, end, n))
+                hits[a, b] = (match.start(), match.end(), sum(match.fuzzy_counts))
+        # windows hold nothing of what was taken before, so only these matches can overlap
+        taken = sorted(taken + _accepted(set(hits.values())))
         # what the taken ones leave of each window that held a match; they begin and end at whole words
         windows = set()
-        for _, _, _, a, b in hits:
-            i = bisect(taken, (a,))
-            for start, end, _ in taken[max(i - 1, 0):]:
-                if start >= b:
-                    break
+        for a, b in hits:
+            i = max(bisect(taken, (a,)) - 1, 0)
+            while i < len(taken) and taken[i][0] < b:
+                start, end, _ = taken[i]
                 if end > a:
                     if start > a:
                         windows.add((a, start - 1))
                     a = min(end + 1, b)
+                i += 1
             windows.add((a, b))
     return taken
 
@@ -153,14 +174,15 @@ def fuzzy_places(text: bytes, patterns) -> list[tuple[int, int, int, str, str]]:
             for offset, seed in parts for at in _places(text, seed)}
         found += [(*one, notice, label) for one in _occurrences(text, windows, pattern, len(notice) - k)]
     # where notices of different labels overlap, those with the fewest edits count
-    return [
-        f for f in found
-        if not any(o[4] != f[4] and o[2] < f[2] and o[0] < f[1] and f[0] < o[1] for o in found_near(found, f))]
+    found.sort()
+    starts = [f[0] for f in found]
+    longest = max((f[1] - f[0] for f in found), default=0)
 
+    def hidden(f: tuple) -> bool:
+        near = found[bisect(starts, f[0] - longest): bisect_left(starts, f[1])]
+        return any(o[4] != f[4] and o[2] < f[2] and f[0] < o[1] for o in near)
 
-def found_near(found: list, one: tuple) -> list:
-    """Matches that may overlap ``one``; ``found`` holds the few matches of one block."""
-    return [o for o in found if abs(o[0] - one[0]) < 200]
+    return [f for f in found if not hidden(f)]
 
 
 def scanned(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
