@@ -306,10 +306,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of every class, with all columns; rows without an id stay."""
+    """The document with the smallest id of every class, with all columns; rows without an id stay.
+
+    Of several rows with that id the one stays whose text has the smallest 64-bit hash, and of those with equal
+    texts the one whose other columns, written as JSON, have it. Columns of any name pass through.
+    """
     found = near_duplicates(docs)
     kept = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("times"))
     kept = stored(kept, "kept")
-    once = docs.join(kept.where("times = 1"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("times > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(repeated).union(docs.where(F.col("doc_id").isNull()))
+    mine = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    inner, name = docs.toDF(*mine.values()), mine["doc_id"]
+    # a merge join at every size: the texts are shuffled once
+    once = kept.where("times = 1").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias(name))
+    out = inner.join(once.hint("merge"), name, "left_semi").union(inner.where(F.col(name).isNull()))
+    n_repeated = kept.where("times > 1").count()
+    if n_repeated:
+        often = kept.where("times > 1").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias(name))
+        whole = F.struct(*inner.columns)
+        rank = F.struct(
+            F.xxhash64(mine["text"]), F.xxhash64(F.to_json(F.struct(*(F.col(c) for c in inner.columns)))))
+        rows = inner.join(small(often, n_repeated), name, "left_semi").select(
+            F.col(name).alias("_id"), rank.alias("_rank"), whole.alias("_row"),
+            F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("_salt"))
+        first = F.min_by("_row", "_rank").alias("_row")
+        least = F.min("_rank").alias("_rank")
+        rows = rows.groupBy("_id", "_salt").agg(first, least).groupBy("_id").agg(first)
+        out = out.union(rows.select("_row.*"))
+    return out.toDF(*docs.columns)

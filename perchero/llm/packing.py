@@ -3,8 +3,9 @@
 A document's ids are counted into a hashed vector, the vector is projected to four dimensions, and
 the cell of that point along a Hilbert curve is the document's key. Documents are laid end to end in
 the order (key, doc_id) and cut every 2048 ids: neighbours on the curve share sequences, copies
-stand side by side, and only the last sequence has padding. Positions come from range-partitioned
-sums, so no task sees more than its range.
+stand side by side, and only the last sequence has padding. The ids are range-partitioned once; a running
+sum inside each range and the totals of the ranges before it give the positions, so no task sees more
+than its range.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from perchero.llm.common import mapped, stored
+from perchero.llm.common import discard, mapped, stored
 from perchero.llm.encode import block_texts, encoder
 from perchero.llm.textblock import blocks, mixed
 
 LENGTH = 2048
 END = 1
 BUCKETS, DIMENSIONS, BITS = 512, 4, 12
+#: Ids that are cut at a time.
+PIECES_IDS = 1 << 21
 
 
 def _projection() -> np.ndarray:
@@ -74,82 +78,118 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return hilbert(cells)
 
 
+def id_type(tokenizer: str, end: int = END) -> str:
+    """The narrowest unsigned type that holds every id of the tokenizer."""
+    largest = max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0)
+    return "<u2" if max(largest, end) < 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """Per document: doc_id, key, n_tokens (with the end id), ids (little-endian, 32 bits)."""
+    """Per document: doc_id, key, n_tokens (with the end id), ids (little-endian, of :func:`id_type`)."""
+    narrow = id_type(tokenizer, end)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder_ = encoder(tokenizer, special=True)
         for batch in batches:
             for block in blocks(batch):
                 ids, counts = encoder_.encode(block_texts(block), end)
-                keys = curve_keys(ids, counts)
-                ends = np.cumsum(counts)
-                narrow = ids.astype("<u4")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.first, block.rows), pa.array(keys), pa.array(counts),
-                     pa.array([narrow[e - c: e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary())],
+                    [batch.column("doc_id").slice(block.first, block.rows), pa.array(curve_keys(ids, counts)),
+                     pa.array(counts), _sliced(ids.astype(narrow), counts)],
                     names=["doc_id", "key", "n_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return mapped(docs.select("doc_id", "text"), encode, f"doc_id {kind}, key long, n_tokens long, ids binary")
 
 
-def placed(tokens: DataFrame) -> DataFrame:
-    """``row`` and ``position``: the ids before each stored row in the order (key, doc_id, row)."""
+def _sliced(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """One binary value for each run of ``counts`` values, without a copy per row."""
+    ends = np.concatenate(([0], np.cumsum(counts))) * values.dtype.itemsize
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(values)]
+    ).cast(pa.binary())
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``ahead``: the ids before each row in its partition."""
+    before = 0
+    for batch in batches:
+        n = batch.column("n_tokens").to_numpy()
+        ahead = before + np.cumsum(n) - n
+        before += int(n.sum())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("n_tokens"), batch.column("ids"), pa.array(ahead)],
+            names=["doc_id", "n_tokens", "ids", "ahead"])
+
+
+def placed(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (part, ahead, doc_id, n_tokens, ids) in the order (key, doc_id, row) of range partitions, and
+    ``base``, the ids before each part."""
     spark = tokens.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "doc_id", "row"]
-    ranged = stored(
-        tokens.select(*order, "n_tokens").repartitionByRange(parts, *order)
-        .withColumn("part", F.spark_partition_id()), "ranged")
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    ranged = stored(mapped(
+        tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("key", "row"), _running,
+        f"doc_id {kind}, n_tokens long, ids binary, ahead long").withColumn("part", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
-    return ranged.withColumn("ahead", ahead).join(F.broadcast(bases), "part").select(
-        "row", (F.col("base") + F.col("ahead")).alias("position"))
+    return ranged, totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
 
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END) -> DataFrame:
-    """The pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
+    """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     Each id lies in one piece; sequence ids count from 0 without gaps and every sequence but the last
-    is full. A null or empty text is its end id alone. Rows that repeat a doc_id are laid one after
-    the other, each with its own pieces. No documents give no pieces. Other columns are ignored.
+    is full. ``ids`` are little-endian 32-bit integers. A null or empty text is its end id alone. Rows that
+    repeat a doc_id are laid one after the other, each with its own pieces. No documents give no pieces. Other
+    columns are ignored.
     """
     tokens = stored(encoded(docs, tokenizer, end).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    laid = tokens.join(placed(tokens), "row").select("doc_id", "ids", "position")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    ranged, bases = placed(tokens)
+    discard(tokens)
+    laid = ranged.join(F.broadcast(bases), "part").select(
+        "doc_id", "ids", (F.col("base") + F.col("ahead")).alias("position"))
+    narrow = id_type(tokenizer, end)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in names}
-            held = 0
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "position"))
-            for doc_id, position, ids in zip(*columns, batch.column("ids"), strict=True):
-                raw = ids.as_buffer()
-                n, done = raw.size // 4, 0
-                while done < n:
-                    offset = (position + done) % length
-                    size = min(length - offset, n - done)
-                    piece = raw.slice(4 * done, 4 * size).to_pybytes()
-                    row = (doc_id, done, size, zlib.crc32(piece), n, (position + done) // length, offset, piece)
-                    for name, value in zip(names, row, strict=True):
-                        out[name].append(value)
-                    done += size
-                held += raw.size
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_pydict(out, schema=shape)
-                    out, held = {k: [] for k in names}, 0
-            if out["start"]:
-                yield pa.RecordBatch.from_pydict(out, schema=shape)
-
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    empty = docs.sparkSession.createDataFrame(
-        [], f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-            "offset long, ids binary")
-    shape = to_arrow_schema(empty.schema)
-    return mapped(laid, cut, empty.schema)
+            yield from _cut(batch, narrow, length)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return mapped(
+        laid, cut,
+        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
+        "ids binary")
+
+
+def _cut(batch: pa.RecordBatch, narrow: str, length: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of each row, some MB of ids at a time."""
+    width = np.dtype(narrow).itemsize
+    column = batch.column("ids").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset: column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    sizes = np.diff(at) // width
+    position = batch.column("position").to_numpy()
+    first = 0
+    while first < len(sizes):
+        upto = np.cumsum(sizes[first:])
+        last = first + max(1, int(np.searchsorted(upto, PIECES_IDS, "right")))
+        n, where = sizes[first:last], position[first:last]
+        ids = raw[at[first]: at[last]].view(narrow).astype("<u4")
+        pieces = (where + n - 1) // length - where // length + 1
+        row = np.repeat(np.arange(len(n)), pieces)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.maximum((where[row] // length + number) * length, where[row])
+        close = np.minimum((where[row] // length + number + 1) * length, (where + n)[row])
+        edges = np.concatenate(([0], np.cumsum(close - begin)))
+        flat = memoryview(ids).cast("B")
+        crc = [zlib.crc32(flat[4 * a: 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").slice(first, last - first).take(pa.array(row)),
+             *(pa.array(x, pa.int64()) for x in (
+                 begin - where[row], close - begin, crc, n[row], begin // length, begin % length)),
+             _sliced(ids, close - begin)],
+            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        first = last
