@@ -118,8 +118,10 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
+    """The documents that are not contaminated, with all their columns, whatever their names."""
     bad = report(docs, benchmark).where("contaminated").select(
-        F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct()
-    hit = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_version"))
-    return docs.join(bad, hit, "left_anti")
+        F.col("doc_id").alias("_bad_id"), F.col("version").alias("_bad_version")).distinct()
+    mine = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    hit = F.col(mine["doc_id"]).eqNullSafe(F.col("_bad_id")) & (
+        F.xxhash64(mine["text"]) == F.col("_bad_version"))
+    return docs.toDF(*mine.values()).join(bad, hit, "left_anti").toDF(*docs.columns)

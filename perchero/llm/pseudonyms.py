@@ -299,14 +299,23 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     Texts without a value, null and empty ones are unchanged with 0 values; candidates that do not
     validate stay, and what is inside them is searched. Rows are treated one by one, so repeated
-    rows and empty tables need no rule; all other columns pass through.
+    rows and empty tables need no rule; all other columns pass through, but for an ``n_replaced`` of the input,
+    which gives way to the new one.
     """
-    names = docs.columns
-    mine = {c: f"_c{i}" for i, c in enumerate(names)}
+    return _rewritten(docs, [c for c in docs.columns if c != "n_replaced"], ["n_replaced"], key)
+
+
+def rewritten(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs`` with ``text`` pseudonymised and every other column, of whatever name, as it was."""
+    return _rewritten(docs, docs.columns, [], key)
+
+
+def _rewritten(docs: DataFrame, names: list[str], counts: list[str], key: str) -> DataFrame:
+    mine = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     inner = docs.toDF(*mine.values())
     text = F.col(mine["text"])
     inner = inner.withColumn("_new", F.when(text.rlike(HINT), _all_changed(text, key)))
     changed = F.coalesce(F.col("_new")["text"], text)
     return inner.select(
         *[(changed if c == "text" else F.col(mine[c])).alias(c) for c in names],
-        F.coalesce(F.col("_new")["n"], F.lit(0)).cast("long").alias("n_replaced"))
+        *[F.coalesce(F.col("_new")["n"], F.lit(0)).cast("long").alias(c) for c in counts])

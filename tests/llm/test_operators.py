@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -140,9 +141,15 @@ def test_packing(docs, empty):
         raw = b"".join(p.ids for p in sorted(by[i], key=lambda p: p.start))
         assert raw == np.array(ids, "<u4").tobytes() and all(p.doc_tokens == len(ids) for p in by[i])
         assert all(zlib.crc32(p.ids) == p.ids_crc32 for p in by[i])
+        starts = {p.start: p.length for p in by[i]}
+        at = 0
+        while at < len(ids):  # without a gap or an overlap
+            at += starts.pop(at)
+        assert at == len(ids) and not starts
     filled = {}
-    for p in pieces:
-        filled[p.sequence_id] = filled.get(p.sequence_id, 0) + p.length
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == filled.get(p.sequence_id, 0)
+        filled[p.sequence_id] = p.offset + p.length
     assert sorted(filled) == list(range(len(filled)))
     assert all(n == 64 for s, n in filled.items() if s != max(filled))
     assert packing.packed(empty, WORD).count() == 0
@@ -223,6 +230,20 @@ def test_jaccard(docs, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_survivor_of_a_repeated_id(spark):
+    """Whatever the partitions, one row of the id stays, by the hash of its text and of its other columns."""
+    one, other, long = sentence(30, 60), sentence(30, 61), sentence(40, 62)
+    rows = [(1, one, 5, "a"), (1, other, 5, "a"), (1, other, 4, "b"), (1, other, 6, "c"), (2, long, 1, "x"), (3, long, 1, "x"),
+            (None, long, 1, "x"), (None, None, 1, "y")]
+    kept = set()
+    for n in (1, 2, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, times long, doc_id_ string").repartition(n)
+        got = [tuple(r) for r in jaccard.one_of_each(docs).collect()]
+        assert sorted(str(r[0]) for r in got) == ["1", "2", "None", "None"] and set(got) <= set(rows)
+        kept.add(frozenset(got))
+    assert len(kept) == 1
+
+
 def test_posterior_bound():
     least = jaccard.fewest_matches()
     assert all(0 <= m < 0.8 * n for n, m in least.items()) and sorted(least.values()) == list(least.values())
@@ -282,7 +303,9 @@ def test_pseudonyms(spark, docs, empty):
     texts = ["card 4111 1111 1111 1111, bad 4111111111111112", "+1 (988) 555-2485", "42.144.35.254. 256.1.1.1",
              "2020-02-29 2021-02-29 25/12/1999 12/25/1999", "123-45-6789 000-12-3456", "a.B9@x.example.com", "", None]
     rows = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, n_replaced string")
-    out = pseudonyms.replaced(rows.drop("n_replaced")).orderBy("doc_id").collect()
+    out = pseudonyms.replaced(rows).orderBy("doc_id").collect()
+    same = pseudonyms.rewritten(rows).orderBy("doc_id").collect()
+    assert [(r.text, r.n_replaced) for r in same] == [(r.text, "z") for r in out]
     assert [r.n_replaced for r in out] == [1, 1, 1, 3, 1, 1, 0, 0]
     card = [int(c) for c in out[0].text[5:24] if c != " "]
     doubled = [sum(divmod(2 * d, 10)) if k % 2 == 0 else d for k, d in enumerate(card)]
@@ -364,6 +387,16 @@ def test_toxicity_ignores_group_mentions(spark, docs, empty):
     assert toxicity.scored(empty, labels).count() == 0
 
 
+def test_many_licenses_in_one_text():
+    """The time is linear in the number of notices: fifty thousand in one text take seconds."""
+    notices = list(licenses.NOTICES)
+    text = " ".join(notices[i % len(notices)].replace("e", "x", 1) for i in range(50_000))
+    whole, _, _ = licenses.normal_form(Block(pa.array([text]), 0))
+    begun = time.monotonic()
+    found = licenses.fuzzy_places(whole, licenses._patterns(licenses.NOTICES))
+    assert len(found) >= 50_000 and time.monotonic() - begun < 40
+
+
 @pytest.mark.parametrize("broadcast_rows", [decontaminate.BROADCAST_ROWS, 0])
 def test_decontamination(spark, docs, empty, broadcast_rows):
     passage = sentence(20, 50)
@@ -379,5 +412,9 @@ def test_decontamination(spark, docs, empty, broadcast_rows):
     assert got[6].n_hit == 20 and not got[6].contaminated
     assert got[3].items_sha256 == hashlib.sha256(b"").hexdigest()
     assert decontaminate.clean(docs, bench).count() == len(ROWS)
+    clash = spark.createDataFrame(
+        [(*r, 1, 2, "v") for r in rows], "doc_id long, text string, bad_id int, _bad_version int, version string")
+    left = decontaminate.clean(clash, bench)
+    assert left.columns == clash.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6]
     assert decontaminate.report(empty, bench).count() == 0
     assert decontaminate.report(docs, bench.limit(0)).where("n_hit = 0").count() == len(ROWS)
