@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perchero.llm import decontaminate, jaccard, packing, pseudonyms, quality
-from perchero.llm.common import stored, table
+from perchero.llm.common import discard, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    changed = pseudonyms.replaced(docs).drop("n_replaced")
+    changed = pseudonyms.rewritten(docs)
     return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -49,6 +49,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for number, (name, stage) in enumerate(STAGES):
+        done = stored(stage(spark, docs, sf_dir), name)
+        if number:
+            discard(docs)  # no later stage reads it
+        docs = done
     return docs
