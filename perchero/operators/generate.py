@@ -10,7 +10,7 @@ from perchero.functions.expert import add_inputs, expert_score, noise, to_rating
 from perchero.functions.hashing import draw, draw_below, lookup, pick, pick_from
 from perchero.functions.text import garment_description, garment_group, garment_name
 from perchero.operators.dataset import join_outfits
-from perchero.operators.ranking import first_per_key, keyed_position
+from perchero.operators.ranking import first_per_key, first_rows, keyed_position
 from perchero.operators.wardrobe import complete_users, with_meta, with_palette
 
 
@@ -153,14 +153,25 @@ def rate(outfits: DataFrame, users: DataFrame, contexts: DataFrame,
     return full.select(*outfits.columns, to_rating(score).alias("rating"))
 
 
+def limited_outfits(attempts: DataFrame, garments: DataFrame, max_rows: int | None = None,
+                    max_attempts: int | None = None) -> DataFrame:
+    """Distinct outfits of the first ``max_attempts`` attempts, at most the first ``max_rows`` of them.
+
+    Both cuts are by attempt number (``rating_id``) from counts per range block; nothing is sorted
+    as a whole.
+    """
+    if max_attempts is not None:
+        attempts = first_rows(attempts, "rating_id", max_attempts)
+    outfits = unique_outfits(draw_outfits(attempts, garments))
+    return outfits if max_rows is None else first_rows(outfits, "rating_id", max_rows)
+
+
 def ratings(users: DataFrame, garments: DataFrame, contexts: DataFrame,
-            max_rows: int | None = None) -> DataFrame:
+            max_rows: int | None = None, max_attempts: int | None = None) -> DataFrame:
     """One rated outfit per context of a user with a complete wardrobe.
 
-    ``max_rows`` is the generator's size parameter (16,000 in the original data set).
+    ``max_rows`` and ``max_attempts`` are the generator's size parameters (``MAX_RATINGS`` and
+    ``MAX_ATTEMPTS`` in the original data set).
     """
     attempts = contexts.select(F.col("context_id").alias("rating_id"), "user_id", "context_id")
-    outfits = unique_outfits(draw_outfits(attempts, garments))
-    if max_rows is not None:
-        outfits = outfits.orderBy("rating_id").limit(max_rows)
-    return rate(outfits, users, contexts, garments)
+    return rate(limited_outfits(attempts, garments, max_rows, max_attempts), users, contexts, garments)

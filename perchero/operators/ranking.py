@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Ids per range block of `keyed_position`: one task sorts at most this many rows of a key.
-BLOCK_WIDTH = 1 << 16
-
+from perchero.session import scratch_path
+from perchero.sources.storage import write_table
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The row with the lowest ``order`` per key, with map-side partial aggregation."""
@@ -29,17 +28,25 @@ def top_k(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
 
 
 def keyed_position(rows: DataFrame, keys: Sequence[str], order: str, name: str = "position",
-                   total: str | None = None, width: int = BLOCK_WIDTH,
-                   tie: str | None = None) -> DataFrame:
-    """0-based position of each row within its key, by the bigint column ``order``.
-
-    A plain ``row_number`` sorts a whole key in one task. Here the order column is cut into
-    range blocks: rows are numbered inside their block, and a running sum of block sizes (one
-    small row per block) gives each block its offset. The result is the same numbering.
-    ``total`` adds the number of rows of the key; ``tie`` breaks equal order values.
+                   total: str | None = None, tie: str | None = None,
+                   blocks: int | None = None) -> DataFrame:
+    """0-based position of each row within its key, by the column ``order``.
+
+    A plain ``row_number`` sorts a whole key in one task. Here all rows are cut into range blocks
+    of about equal size by (key, order); Spark draws the bounds from a sample of the data, so sparse
+    or clustered values fill the blocks as evenly as dense ones. Rows are numbered inside their
+    block, and a running sum of block sizes (one small row per block and key) gives each block its
+    offset. ``total`` adds the number of rows of the key; ``tie`` breaks equal order values. Rows
+    with a null key are left out. The blocks are written once: bounds drawn twice might differ.
     """
-    block = F.floor(F.col(order) / F.lit(width)).cast("bigint")
-    cut = rows.withColumn("_block", block)
+    spark = rows.sparkSession
+    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = [*keys, order, *([tie] if tie else [])]
+    known = rows.dropna(subset=list(keys))
+    cut = write_table(
+        known.repartitionByRange(blocks, *place).withColumn("_block", F.spark_partition_id()),
+        scratch_path(spark, "ranked"),
+    )
     sizes = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
     by_key = W.partitionBy(*keys)
     before = by_key.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
@@ -55,3 +62,26 @@ def keyed_position(rows: DataFrame, keys: Sequence[str], order: str, name: str =
     if total:
         out = out.withColumn(total, F.col("_total"))
     return out.select(*rows.columns, name, *([total] if total else []))
+
+
+def first_rows(rows: DataFrame, order: str, limit: int, blocks: int | None = None) -> DataFrame:
+    """The ``limit`` rows with the lowest ``order``, whatever its size, without sorting all in one task.
+
+    Range blocks are counted, the running sum of the counts says which block the limit falls into,
+    and only in that one rows are numbered.
+    """
+    spark = rows.sparkSession
+    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = write_table(
+        rows.repartitionByRange(blocks, order).withColumn("_block", F.spark_partition_id()),
+        scratch_path(spark, "ranked"),
+    )
+    sizes = {r["_block"]: r["n"] for r in cut.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken, whole = 0, []
+    for block in sorted(sizes):  # one number per block
+        if taken + sizes[block] > limit:
+            rest = cut.where(F.col("_block") == block).orderBy(order).limit(limit - taken)
+            return cut.where(F.col("_block").isin(whole)).unionByName(rest).drop("_block")
+        taken += sizes[block]
+        whole.append(block)
+    return cut.drop("_block")

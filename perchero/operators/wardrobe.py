@@ -20,6 +20,14 @@ def garments_of(garments: DataFrame, users: DataFrame) -> DataFrame:
     return wanted.select("user_id", *GARMENT_LIST)
 
 
+def profiles(users: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The eight columns of a profile; ``accounts`` has the email of each user."""
+    emails = accounts.select("user_id", "email")
+    return users.join(emails, "user_id", "left").select(
+        "user_id", "username", "email", "age", "body_shape", "style_preference", "skin_tone", "gender"
+    )
+
+
 def wardrobe_counts(garments: DataFrame) -> DataFrame:
     """Garments per user and group; other groups are ignored."""
     counts = [

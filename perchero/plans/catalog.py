@@ -15,6 +15,7 @@ from perchero.operators import candidates, changes, dataset, evaluate, generate,
 from perchero.operators import wardrobe
 from perchero.operators.trees import Ensemble
 from perchero.session import scratch_path
+from perchero.sources import tables
 from perchero.sources.testdata import TestTables, load
 from perchero.streaming.recommend_stream import read_stream, recommend_stream
 
@@ -46,6 +47,20 @@ def scan_users(t: TestTables) -> DataFrame:
     return t.users
 
 
+@query
+def profile_projection(t: TestTables) -> DataFrame:
+    return wardrobe.profiles(t.users, t.accounts)
+
+
+@query
+def scan_csv(t: TestTables) -> DataFrame:
+    """Garments written as CSV, columns in another order and one more, and read back by name."""
+    path = scratch_path(t.spark, "csv")
+    turned = t.garments.select(*reversed(t.garments.columns), F.lit("x").alias("further"))
+    tables.write_csv(turned, path)
+    return tables.read_csv(t.spark, path, S.GARMENTS)
+
+
 @query
 def garments_by_user(t: TestTables) -> DataFrame:
     return wardrobe.garments_of(t.garments, t.requests)
@@ -189,6 +204,13 @@ def ratings_generate(t: TestTables) -> DataFrame:
     return t.ratings
 
 
+@query
+def ratings_limited(t: TestTables) -> DataFrame:
+    """The generator's limits: so many attempts, and so many distinct outfits of them."""
+    return generate.limited_outfits(
+        t.rating_attempts(), t.garments, L.MAX_RATINGS, L.MAX_ATTEMPTS)
+
+
 @query
 def ratings_dedupe(t: TestTables) -> DataFrame:
     return generate.unique_outfits(generate.draw_outfits(t.rating_attempts(), t.garments))

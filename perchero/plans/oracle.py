@@ -756,6 +756,9 @@ SQL: dict[str, str] = {}
 GARMENT = """garment_id, user_id, name, type, primary_color, pattern, material,
   formality_level, description, type_group, image_url"""
 SQL["scan_users"] = "select * from users"
+SQL["profile_projection"] = """select user_id, u.username as username, email, age, body_shape,
+  style_preference, skin_tone, gender from users u join accounts a on a.seq = u.user_id"""
+SQL["scan_csv"] = f"select {GARMENT} from garments"
 SQL["garments_by_user"] = f"""select {GARMENT} from garments
   where user_id in (select user_id from requests)"""
 SQL["request_user_join"] = """select request_id, user_id, age, body_shape, style_preference,
@@ -817,6 +820,11 @@ SQL["contexts_generate"] = "select * from made_contexts"
 SQL["ratings_generate"] = "select * from ratings"
 SQL["ratings_dedupe"] = """select min(rating_id) as rating_id, user_id, context_id,
   top_garment_id, bottom_garment_id, shoes_garment_id from attempts group by all"""
+SQL["ratings_limited"] = f"""select min(rating_id) as rating_id, user_id, context_id,
+  top_garment_id, bottom_garment_id, shoes_garment_id from attempts where rating_id in (
+    select rating_id from (select context_id * 10 + unnest([0, 1, 2]) as rating_id from contexts)
+    order by rating_id limit {L.MAX_ATTEMPTS})
+  group by all order by 1 limit {L.MAX_RATINGS}"""
 SQL["expert_rating_parts"] = "select rating_id, " + ", ".join(
     r6(total(terms), part) for part, terms in expert_terms().items()
 ) + " from rated"

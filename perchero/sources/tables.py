@@ -25,10 +25,42 @@ class MissingTables(Exception):
     """Required input tables do not exist."""
 
 
+class MissingColumns(Exception):
+    """A file's header lacks required columns."""
+
+
+def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    return reader.csv(path)  # all columns as text, named by the header
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV file or folder; a header that differs from the schema is an error."""
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-    return reader.option("multiLine", True).option("escape", '"').csv(path)
+    """A CSV file or folder by column name: any order, further columns are left out.
+
+    Rows with a value that does not fit its type are left out too; :func:`bad_csv_rows` has them.
+    """
+    good, _ = _parted_csv(spark, path, schema)
+    return good
+
+
+def bad_csv_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows that :func:`read_csv` leaves out, as text, with the names of the columns that do not fit."""
+    _, bad = _parted_csv(spark, path, schema)
+    return bad
+
+
+def _parted_csv(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    raw = _raw_csv(spark, path)
+    absent = [c for c in schema.names if c not in raw.columns]
+    if absent:
+        raise MissingColumns(f"{path} lacks the columns {', '.join(absent)}")
+    typed = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema.fields}
+    wrong = [
+        F.when(F.col(f"`{n}`").isNotNull() & value.isNull(), n) for n, value in typed.items()
+    ]
+    marked = raw.select(*schema.names, F.concat_ws(",", *wrong).alias("_wrong"))
+    good = marked.filter(F.col("_wrong") == "").select(*[c.alias(n) for n, c in typed.items()])
+    return good, marked.filter(F.col("_wrong") != "").withColumnRenamed("_wrong", "wrong_columns")
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -49,8 +81,13 @@ def read_csv_tables(spark: SparkSession, paths: Mapping[str, str]) -> dict[str,
     tables, missing = {}, []
     for name, schema in CSV_SCHEMAS.items():
         try:
-            tables[name] = standard_key(read_csv(spark, paths[name], schema), KEYS[name])
-        except (KeyError, AnalysisException):
+            path = paths[name]
+            tables[name] = standard_key(read_csv(spark, path, schema), KEYS[name])
+        except KeyError:
+            missing.append(name)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             missing.append(name)
     if missing:
         raise MissingTables(f"missing input tables: {', '.join(missing)}")

@@ -65,8 +65,9 @@ REPLIES = [
     ' "formality_level": -2, "avoid_items": [""]}',
     '{"temperature": " 7 ", "activity": "comida_cena", "formality_level": " 2 ",'
     ' "avoid_items": ["botas", 3, null, true]}',
+    '{"season": "verano", "activity": "saludo", "temperature": @T}',
 ]
-REPLY_TEMPERATURES = ["-2", "0", "8.5", "18", "31"]
+REPLY_TEMPERATURES = ["-2", "0", "8.5", "18", "31", "nan"]
 UPLOAD_SUFFIXES = [".png", ".JPG", ".gif", "", ".tar.webp"]
 UPLOAD_FORMALITY = ["3", "x", "", "5", " 4 ", "5.0"]
 UPLOAD_NAMES = ["camisa blanca", "", "vaquero azul", "botas"]
@@ -275,6 +276,10 @@ class TestTables:
             F.when(key % 97 != 0, email).alias("email"),
         )
 
+    @cached_property
+    def accounts(self) -> DataFrame:
+        return self._accounts().withColumnRenamed("seq", "user_id")
+
     @cached_property
     def existing_accounts(self) -> DataFrame:
         """Every tenth account is already registered."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from perchero import schemas as S
 from perchero.operators import changes as C
+from perchero.sources.storage import write_table
 
 LOG = "seq long, garment_id long, user_id long, op string, payload map<string,string>"
 
@@ -27,11 +28,10 @@ def test_insert_defaults(spark):
         (4, 13, 7, "insert", {**full, "primary_color": None, "formality_level": "5"}),
     ], LOG)
     rows = {r.garment_id: r for r in C.inserted_garments(log).collect()}
-    assert sorted(rows) == [10, 11, 13]
+    assert sorted(rows) == [10, 11]  # the table requires the colour of 13
     assert rows[10].formality_level == 3 and rows[10].type_group == "top"
     assert rows[10].description == "" and rows[10].image_url == "" and rows[10].pattern is None
     assert rows[11].formality_level is None and rows[11].type_group == "shoes"
-    assert rows[13].primary_color is None and rows[13].formality_level == 5
 
 
 def test_apply_changes(spark):
@@ -48,6 +48,7 @@ def test_apply_changes(spark):
         (9, 11, 7, "insert", full),
         (10, 11, 7, "delete", None),
         (11, 11, 7, "update", {"name": "gone"}),
+        (12, 1, 7, "update", {"name": None, "material": "seda"}),  # refused as a whole
     ], LOG)
     rows = {r.garment_id: r for r in C.apply_garment_changes(garments(spark), log).collect()}
     assert sorted(rows) == [1, 2, 10]
@@ -72,6 +73,45 @@ def test_profiles(spark):
     assert rows[2].username == "b" and len(rows) == 2
 
 
+def test_usernames_are_held_by_one_user_at_a_time(spark):
+    """Against a walk through the changes in order."""
+    rng = random.Random(8)
+    n = 40
+    users = [(i, f"n{i % 30}" if i < 30 else f"m{i}") for i in range(n)]
+    log = []
+    for seq in range(1, 260):
+        payload = {"age": str(seq)}
+        if rng.random() < 0.8:
+            payload["username"] = rng.choice([None, "n1", *(f"n{j}" for j in range(12)), f"new{seq % 9}"])
+        log.append((seq, rng.choice([0, 1, 2, 3, 4, 5, rng.randrange(n), 99]), payload))
+    # owners hand a name on: one leaves, the next takes it
+    log += [(1000 + 2 * i, 20 + i, {"username": f"left{i}"}) for i in range(8)]
+    log += [(1001 + 2 * i, 21 + i, {"username": f"n{20 + i}"}) for i in range(7)]
+    names, ages = dict(users), {}
+    for seq, user, payload in sorted(log, key=lambda r: r[0]):
+        if user in names:
+            if "username" in payload:
+                name = payload["username"]
+                if name is None or any(v == name for u, v in names.items() if u != user):
+                    continue
+                names[user] = name
+            ages[user] = payload.get("age", ages.get(user))
+    frame = spark.createDataFrame([(i, u, None, None, None, None, None) for i, u in users], S.USERS)
+    changes = spark.createDataFrame(log, "seq long, user_id long, payload map<string,string>")
+    got = {r.user_id: (r.username, r.age) for r in C.apply_profile_changes(frame, changes.repartition(3)).collect()}
+    assert got == {u: (names[u], int(ages[u]) if ages.get(u) else None) for u, _ in users}
+
+
+def test_a_long_chain_of_registrations(spark, monkeypatch):
+    """Ten thousand rows that each collide with the one before: tens of written tables, not thousands."""
+    written = []
+    monkeypatch.setattr(C, "write_table", lambda table, path: written.append(path) or write_table(table, path))
+    rows = [(i, f"u{i // 2}", f"e{(i + 1) // 2}") for i in range(10_000)]
+    frame = spark.createDataFrame(rows, "seq long, username string, email string").repartition(4)
+    got = sorted(r.seq for r in C.accept_registrations(frame, frame.limit(0).drop("seq")).collect())
+    assert got == list(range(0, 10_000, 2)) and len(written) < 50
+
+
 def test_form_uploads(spark):
     schema = ("upload_id long, filename string, formality_raw string, name string, type string,"
               "primary_color string, pattern string, material string, description string,"

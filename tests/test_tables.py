@@ -14,8 +14,10 @@ from perchero import schemas as S
 from perchero.functions import expert, metrics
 from perchero.functions.hashing import draw
 from perchero.operators import dataset, evaluate, generate, wardrobe
-from perchero.operators.ranking import first_per_key, keyed_position, top_k
+from perchero.operators import ranking
+from perchero.operators.ranking import first_per_key, first_rows, keyed_position, top_k
 from perchero.sources import tables
+from perchero.sources.storage import write_table
 
 
 def keyed(spark, n=400):
@@ -23,9 +25,9 @@ def keyed(spark, n=400):
     return spark.range(n).select(key.alias("k"), (F.col("id") * 37 % 1009).alias("v"), "id")
 
 
-@pytest.mark.parametrize("width", [1, 7, 100, 1 << 16])
-def test_positions_equal_row_numbers(spark, width):
-    rows = keyed_position(keyed(spark), ["k"], "v", "p", "n", width=width, tie="id")
+@pytest.mark.parametrize("blocks", [1, 7, None])
+def test_positions_equal_row_numbers(spark, blocks):
+    rows = keyed_position(keyed(spark), ["k"], "v", "p", "n", tie="id", blocks=blocks)
     by = W.partitionBy("k")
     check = rows.withColumn("want", F.row_number().over(by.orderBy("v", "id")) - 1).withColumn(
         "size", F.count("*").over(by))
@@ -34,10 +36,43 @@ def test_positions_equal_row_numbers(spark, width):
 
 
 def test_global_positions(spark):
-    rows = keyed_position(keyed(spark).drop("k"), [], "id", "p", width=16)
+    rows = keyed_position(keyed(spark).drop("k"), [], "id", "p", blocks=16)
     assert rows.filter("p <> id").count() == 0
 
 
+def test_sparse_ids_fill_the_blocks(spark, monkeypatch):
+    """Ids far apart, as the library's own inserts make them, and one key with most rows."""
+    kept = []
+    monkeypatch.setattr(ranking, "write_table", lambda table, path: kept.append(write_table(table, path)) or kept[-1])
+    step = 10**17 // 1000
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id") % 7).alias("k"),
+        ((F.col("id") * 7919 % 6007) * step).alias("v"))
+    got = keyed_position(rows, ["k"], "v", "p", blocks=12)
+    by = W.partitionBy("k").orderBy("v")
+    assert got.withColumn("want", F.row_number().over(by) - 1).filter("p <> want").count() == 0
+    sizes = [r["count"] for r in kept[0].groupBy("_block").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 3 * 6000 / 12
+
+
+@pytest.mark.parametrize("limit", [0, 1, 399, 400, 5000])
+def test_first_rows(spark, limit):
+    rows = keyed(spark).withColumn("v", F.col("id") * 10**15)
+    got = first_rows(rows, "v", limit, blocks=5)
+    assert got.columns == rows.columns
+    assert sorted(r.id for r in got.collect()) == list(range(min(limit, 400)))
+
+
+def test_generator_limits(spark):
+    users, garments, contexts = small(spark)
+    attempts = contexts.select(F.col("context_id").alias("rating_id"), "user_id", "context_id")
+    every = sorted(generate.limited_outfits(attempts, garments).collect())
+    ids = sorted(r.rating_id for r in attempts.collect())
+    for rows, tries in ((3, None), (None, 7), (4, 9), (10**6, 10**6)):
+        got = sorted(generate.limited_outfits(attempts, garments, rows, tries).collect())
+        assert got == [r for r in every if r.rating_id in ids[:tries]][:rows]
+
+
 def test_first_and_top(spark):
     rows = keyed(spark)
     firsts = {r.k: (r.v, r.id) for r in first_per_key(rows, ["k"], "v").collect()}
@@ -129,6 +164,22 @@ def test_csv_round_trip_and_full_dataset(spark, tmp_path):
         })
 
 
+def test_csv_by_name_and_bad_rows(spark, tmp_path):
+    path = str(tmp_path / "users.csv")
+    with open(path, "w") as out:
+        out.write('gender,age,id,further,username,body_shape,style_preference,skin_tone\n')
+        out.write('mujer,31,1,z,"a, b",pera,urbano,fría\n,x,2,,c,,,\n,,3,,"two\nlines",,,\n,5,y9,,d,,,\n')
+    good = {r.id: r for r in tables.read_csv(spark, path, S.USERS_CSV).collect()}
+    assert sorted(good) == [1, 3] and good[1].username == "a, b" and good[1].age == 31
+    assert good[3].username == "two\nlines" and good[3].age is None and good[1].gender == "mujer"
+    bad = {r.id: r.wrong_columns for r in tables.bad_csv_rows(spark, path, S.USERS_CSV).collect()}
+    assert bad == {"2": "age", "y9": "id"}
+    with open(path, "w") as out:
+        out.write("id,age\n1,2\n")
+    with pytest.raises(tables.MissingColumns, match="username"):
+        tables.read_csv(spark, path, S.USERS_CSV)
+
+
 def test_unmatched_keys_stay(spark):
     users, garments, contexts = small(spark)
     lost = spark.createDataFrame([(1, 999, 999, 1, 2, 3, 4.0)], S.RATINGS)
