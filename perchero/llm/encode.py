@@ -112,13 +112,13 @@ class Encoder(dict):
         if len(self) > CACHE_PIECES:
             self.clear_table()
         closing = [] if end is None else [self._closing(end)]
-        numbers: list[int] = []
+        numbers = array("q")
         bounds = [0]
         for text in texts:
-            numbers += map(self.__getitem__, self.pieces(text))
-            numbers += closing
+            numbers.extend(map(self.__getitem__, self.pieces(text)))
+            numbers.extend(closing)
             bounds.append(len(numbers))
-        which = np.array(numbers, np.int64)
+        which = np.frombuffer(numbers, np.int64) if numbers else np.zeros(0, np.int64)
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
         starts = np.frombuffer(self.starts, np.int64)
         lengths = starts[which + 1] - starts[which]

@@ -28,6 +28,8 @@ END = 1
 BUCKETS, DIMENSIONS, BITS = 512, 4, 12
 #: Ids that are cut at a time.
 PIECES_IDS = 1 << 21
+#: Buckets of the ids below 2^16, in a table.
+_BUCKET = (mixed(np.arange(1 << 16)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _projection() -> np.ndarray:
@@ -66,9 +68,12 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The Hilbert key of each document, from its ids."""
-    rows = np.repeat(np.arange(len(counts)), counts)
-    bucket = (mixed(ids.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
-    vector = np.log1p(np.bincount(rows * BUCKETS + bucket, minlength=len(counts) * BUCKETS))
+    if ids.max(initial=0) < len(_BUCKET):
+        bucket = _BUCKET[ids]
+    else:
+        bucket = (mixed(ids) % np.uint64(BUCKETS)).astype(np.int64)
+    first = np.repeat(np.arange(len(counts)) * BUCKETS, counts)
+    vector = np.log1p(np.bincount(first + bucket, minlength=len(counts) * BUCKETS))
     vector = vector.reshape(len(counts), BUCKETS)
     vector -= vector.mean(axis=1, keepdims=True)
     norm = np.sqrt((vector**2).sum(axis=1, keepdims=True))
