@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perchero.llm.common import mapped, stored
+from perchero.llm.common import mapped, small, stored
 from perchero.llm.textblock import blocks, mixed
 
 WINDOW, SEED = 200, 32
@@ -248,12 +248,15 @@ def _spans(rows: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
 def _shared(rows: DataFrame, spans: list[tuple[int, int]], crowded: int) -> DataFrame:
     """Per frame with a span that another frame has at the same place: the least and largest ``size`` of those.
 
-    Spans of more than ``crowded`` frames are few and go to all tasks; the other joins have small keys.
+    Spans of more than ``crowded`` frames are few: up to the counted bound of :func:`small` they go to all tasks,
+    beyond it their join is shuffled and its skewed keys are split by adaptive execution. The other joins have
+    small keys.
     """
     key = ["size", "span_a", "span_b"]
     cut = _spans(rows, spans)
     counts = stored(cut.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "spans")
-    many = F.broadcast(counts.where(F.col("n") > crowded).drop("n").withColumn("many", F.lit(True)))
+    many = counts.where(F.col("n") > crowded).drop("n").withColumn("many", F.lit(True))
+    many = small(many, many.count())
     marked = cut.join(many, key, "left")
     few = marked.where("many is null").drop("many").join(counts.where(F.col("n") <= crowded).drop("n"), key, "left_semi")
     found = marked.where("many").drop("many").unionByName(few)
