@@ -23,6 +23,7 @@ HEADLINE = [
     "feature_matrix", "rule_bonus", "expert_rating", "avoid_skipped_count", "candidate_triples",
     "score_requests", "best_outfit", "top3_outfits", "recommend_response", "context_normalize",
     "stratified_folds", "baseline_metrics", "category_vocab", "prediction_histogram",
+    "ml_train_metrics",
 ]
 
 

@@ -758,7 +758,10 @@ GARMENT = """garment_id, user_id, name, type, primary_color, pattern, material,
 SQL["scan_users"] = "select * from users"
 SQL["profile_projection"] = """select user_id, u.username as username, email, age, body_shape,
   style_preference, skin_tone, gender from users u join accounts a on a.seq = u.user_id"""
-SQL["scan_csv"] = f"select {GARMENT} from garments"
+SQL["scan_csv"] = """select garment_id, user_id, nullif(name, '') as name, nullif(type, '') as type,
+  nullif(primary_color, '') as primary_color, nullif(pattern, '') as pattern,
+  nullif(material, '') as material, formality_level, nullif(description, '') as description,
+  nullif(type_group, '') as type_group, nullif(image_url, '') as image_url from garments"""
 SQL["garments_by_user"] = f"""select {GARMENT} from garments
   where user_id in (select user_id from requests)"""
 SQL["request_user_join"] = """select request_id, user_id, age, body_shape, style_preference,

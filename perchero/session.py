@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_scope = threading.local()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,7 +37,24 @@ def run_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one written intermediate table."""
-    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = getattr(_scope, "folder", None) or run_folder(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables of this thread lie in one folder inside the block, and go with its end.
+
+    What the block computes must be written elsewhere before that.
+    """
+    outer = getattr(_scope, "folder", None)
+    _scope.folder = f"{run_folder(spark)}/scope-{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scope.folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _scope.folder = outer
 
 
 def shipped(spark: SparkSession) -> None:

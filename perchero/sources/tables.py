@@ -37,6 +37,7 @@ def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A CSV file or folder by column name: any order, further columns are left out.
 
+    An empty field is null, also a quoted one, as the original's reader has it.
     Rows with a value that does not fit its type are left out too; :func:`bad_csv_rows` has them.
     """
     good, _ = _parted_csv(spark, path, schema)

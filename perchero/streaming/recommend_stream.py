@@ -7,7 +7,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from perchero.operators.candidates import Predictor
-from perchero.operators.recommend import best_outfits, context_log, read_messages, respond
+from perchero.operators.recommend import best_outfits, context_log, read_messages, respond_to
+from perchero.session import scratch_path, scratch_scope
+from perchero.sources.storage import write_table
 from perchero.sources.tables import append_contexts
 
 
@@ -27,8 +29,9 @@ def recommend_stream(requests: DataFrame, users: DataFrame, garments: DataFrame,
     a request is answered exactly once.
     """
     def answer(batch: DataFrame, batch_id: int) -> None:
-        best = best_outfits(batch, users, garments, predictor)
-        best.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        with scratch_scope(batch.sparkSession):
+            best = best_outfits(batch, users, garments, predictor)
+            best.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
@@ -39,12 +42,15 @@ def recommend_stream(requests: DataFrame, users: DataFrame, garments: DataFrame,
 def message_stream(messages: DataFrame, users: DataFrame, garments: DataFrame,
                    predictor: Predictor, out: str, contexts: str,
                    checkpoint: str) -> StreamingQuery:
-    """Responses per message, and the context rows they append."""
+    """Responses per message, and the context rows they append. A batch is read and parsed once,
+    and its intermediate tables go with it."""
     def answer(batch: DataFrame, batch_id: int) -> None:
-        log = context_log(read_messages(batch, users))
-        append_contexts(log, f"{contexts}/batch={batch_id}", mode="overwrite")
-        responses = respond(batch, users, garments, predictor)
-        responses.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        with scratch_scope(spark):
+            read = write_table(read_messages(batch, users), scratch_path(spark, "messages"))
+            append_contexts(context_log(read), f"{contexts}/batch={batch_id}", mode="overwrite")
+            responses = respond_to(read, users, garments, predictor)
+            responses.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         messages.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
