@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+# Fixed values.
 USERS = {
     1: ("romantico", "invierno", 7.0, "cita_romantica"),
     2: ("urbano", "verano", 32.0, "deporte"),
     3: ("minimalista", "primavera", 20.0, "trabajo_oficina"),
 }
-# user, group, type, colour, pattern, material, formality
+# User, group, type, colour, pattern, material, formality
 GARMENTS = [
     (1, "top", "top_encaje", "blanco", "liso", "seda", 4),
     (1, "top", "jersey", "rosa", "punto", "lana", 3),
