@@ -10,9 +10,8 @@
    r, its members are ranked by their reversed left sides; runs whose common left extension l
    reaches 200 - r, and whose members continue with different bytes on both sides, are maximal
    repeats (inside the frame), and all members are their occurrences.
-   A group of more than ``CROWDED`` frames is not scanned in one task: of each of its frames, the 200-byte
-   windows that hold the seed are counted by hash (:func:`crowded_reaches`). Every repeat is the union of
-   such windows, so the reach of a frame is that of its windows seen in other frames too.
+   A group of more than ``CROWDED`` frames is first split into parts that agree on more bytes than the seed,
+   until each fits one task (:func:`crowded_reaches`); the parts are scanned alike.
 4. The occurrences of all groups are united per document.
 
 Hashes only select; equality of frames and windows is by 128 bits.
@@ -22,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from perchero.llm.textblock import blocks, mixed
 WINDOW, SEED = 200, 32
 REACH = WINDOW - SEED  # bytes to the left of an anchor that share a window with it
 SEGMENT = 2 << 20
-#: The most frames of one seed, or rows of one window, that a single task takes together.
+#: The most frames of one seed, or of a part of them, that a single task takes together.
 CROWDED = 10_000
 _BYTE = mixed(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _DOUBLE = [mixed(np.array([k + 500], np.uint64))[0] | np.uint64(1) for k in range(5)]
@@ -216,71 +216,87 @@ def maximal(lefts: list[bytes], rights: list[bytes], least: int = WINDOW) -> lis
     return found
 
 
-def _spans(rows: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
-    """Per frame and span (bytes to the left, bytes to the right) that lies in it: ``size`` to the left and hash.
+def _halves(rows: DataFrame) -> DataFrame:
+    """Each frame in both halves of its range ``low`` to ``high`` of left sizes, where it holds a window of them.
 
-    Spans whose left size is outside the row's ``low`` to ``high`` are left out.
+    ``part`` is a hash of the bytes that all windows of the half have in common, ``hull_a`` and ``hull_b`` of all
+    bytes of the frame that they touch; ``to_left`` and ``to_right`` are the sizes of the hull.
     """
-    names = ["frame_a", "frame_b", "size", "span_a", "span_b"]
-    sizes, ends = np.array(spans, np.int64).T
+    names = ["frame_a", "frame_b", "low", "high", "to_left", "to_right", "part", "hull_a", "hull_b"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                lefts, rights = (part.column(c).to_pylist() for c in ("left_bytes", "right_bytes"))
+                rows_ = batch.slice(first, 1000)
+                lefts, rights = (rows_.column(c).to_pylist() for c in ("left_bytes", "right_bytes"))
                 data = np.frombuffer(b"".join(x for both in zip(lefts, rights, strict=True) for x in both), np.uint8)
                 left, right = (np.array([len(x) for x in side], np.int64) for side in (lefts, rights))
                 at = np.cumsum(left + right) - right
-                low, high = (part.column(c).to_numpy()[:, None] for c in ("low", "high"))
-                inside = (sizes <= left[:, None]) & (ends <= right[:, None]) & (sizes >= low) & (sizes <= high)
-                row, span = np.nonzero(inside)
-                start, end = at[row] - sizes[span], at[row] + ends[span]
-                hashes = [_span_hash(data, power, salt, start, end).view(np.int64) for salt, power in enumerate(_POWERS)]
-                index = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("frame_a").take(index), part.column("frame_b").take(index), pa.array(sizes[span]),
-                     *(pa.array(h) for h in hashes)], names=names)
-
-    return mapped(rows, cut, "frame_a long, frame_b long, size long, span_a long, span_b long")
-
-
-def _shared(rows: DataFrame, spans: list[tuple[int, int]], crowded: int) -> DataFrame:
-    """Per frame with a span that another frame has at the same place: the least and largest ``size`` of those.
-
-    Spans of more than ``crowded`` frames are few: up to the counted bound of :func:`small` they go to all tasks,
-    beyond it their join is shuffled and its skewed keys are split by adaptive execution. The other joins have
-    small keys.
+                low, high = (rows_.column(c).to_numpy() for c in ("low", "high"))
+                middle = (low + high) // 2
+                for low_, high_ in ((low, middle), (middle + 1, high)):
+                    holds = np.flatnonzero(np.maximum(low_, WINDOW - right) <= np.minimum(high_, left))
+                    start, end, place = low_[holds], high_[holds], at[holds]
+                    sides = (start * 1000 + end).astype(np.uint64)
+                    core = _span_hash(data, _POWERS[0], 0, place - start, place + WINDOW - end)
+                    to_left, to_right = np.minimum(end, left[holds]), np.minimum(WINDOW - start, right[holds])
+                    sizes = (to_left * 1000 + to_right).astype(np.uint64)
+                    hull = [
+                        mixed(_span_hash(data, p, salt, place - to_left, place + to_right) + sizes).view(np.int64)
+                        for salt, p in enumerate(_POWERS)]
+                    index = pa.array(holds)
+                    yield pa.RecordBatch.from_arrays(
+                        [rows_.column("frame_a").take(index), rows_.column("frame_b").take(index),
+                         *(pa.array(x) for x in (start, end, to_left, to_right, mixed(core + sides).view(np.int64), *hull))],
+                        names=names)
+
+    return mapped(rows, cut, ", ".join(f"{c} long" for c in names))
+
+
+def _having(rows: DataFrame, counts: DataFrame, key: list[str], crowded: int) -> DataFrame:
+    """The rows whose key is in ``counts``, with its columns (``n`` rows have the key).
+
+    Keys of more than ``crowded`` rows are few: up to the counted bound of :func:`small` they go to all tasks,
+    beyond it their join is shuffled and its skewed keys are split by adaptive execution.
     """
-    key = ["size", "span_a", "span_b"]
-    cut = _spans(rows, spans)
-    counts = stored(cut.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "spans")
-    many = counts.where(F.col("n") > crowded).drop("n").withColumn("many", F.lit(True))
-    many = small(many, many.count())
-    marked = cut.join(many, key, "left")
-    few = marked.where("many is null").drop("many").join(counts.where(F.col("n") <= crowded).drop("n"), key, "left_semi")
-    found = marked.where("many").drop("many").unionByName(few)
-    return found.groupBy("frame_a", "frame_b").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    few = counts.where(F.col("n") <= crowded)
+    many = counts.where(F.col("n") > crowded).select(*key, F.col("n").alias("_n"))
+    n_many = many.count()
+    if not n_many:
+        return rows.join(few, key)
+    marked = rows.join(small(many, n_many), key, "left")
+    return marked.where("_n is null").drop("_n").join(few, key).unionByName(
+        marked.where("_n is not null").withColumnRenamed("_n", "n"))
 
 
 def crowded_reaches(rows: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """What :func:`_reaches` gives, of frames whose groups are too large for one task.
 
-    A window has 84 bytes or more left of its anchor, or 117 or more right of it: frames that share
-    neither with another one are dropped before windows are made.
+    A window has some number of bytes, 0 to 168, left of its anchor. The range of these sizes is halved until
+    a part, the frames with the same bytes where all windows of the range lie over each other, is small enough for
+    the interval tree. Frames of a part that agree on all bytes of its windows reach to the ends of these in each
+    other; one of them goes on for the sake of the others. At a single size all frames of a part agree.
     """
-    whole = rows.dropDuplicates(["frame_a", "frame_b"]).select("frame_a", "frame_b", "left_bytes", "right_bytes")
-    whole = stored(whole, "crowded")
-    half = REACH // 2
-    part = _shared(
-        whole.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(REACH).cast("long")),
-        [(0, WINDOW - half + 1), (half, SEED)], crowded)
-    part = part.select(
-        "frame_a", "frame_b", F.when(F.col("low") == 0, 0).otherwise(half).cast("long").alias("low"),
-        F.when(F.col("high") == half, REACH).otherwise(half - 1).cast("long").alias("high"))
-    kept = stored(whole.join(part, ["frame_a", "frame_b"]), "crowded_kept")
-    reach = _shared(kept, [(n, WINDOW - n) for n in range(REACH + 1)], crowded)
-    return reach.select("frame_a", "frame_b", F.col("high").alias("to_left"), (WINDOW - F.col("low")).alias("to_right"))
+    frame, hull = ["frame_a", "frame_b"], ["part", "hull_a", "hull_b"]
+    whole = stored(rows.dropDuplicates(frame).select(*frame, "left_bytes", "right_bytes"), "crowded")
+    reach, ready = [], []
+    left = whole.withColumn("low", F.lit(0).cast("long")).withColumn("high", F.lit(REACH).cast("long"))
+    while not left.isEmpty():
+        cut = stored(_halves(left), "halves")
+        hulls = stored(cut.groupBy(*hull).agg(
+            F.count("*").alias("n"), F.min(F.struct(*frame)).alias("one"),
+            F.min("low").alias("low"), F.min("high").alias("high")), "hulls")
+        alike = _having(cut, hulls.where("n > 1").select(*hull, "n"), hull, crowded)
+        reach.append(alike.select(*frame, "to_left", "to_right"))
+        parts = stored(hulls.groupBy("part").agg(F.count("*").alias("n")).where("n > 1"), "parts")
+        ones = _having(hulls.select("part", "one.*", "low", "high"), parts, ["part"], crowded)
+        ones = stored(ones, "ones")
+        ready.append(ones.where(F.col("n") <= crowded).select(F.col("part").alias("seed"), *frame))
+        left = whole.join(ones.where(F.col("n") > crowded).select(*frame, "low", "high"), frame)
+    groups = whole.join(reduce(DataFrame.union, ready), frame).select("seed", *frame, "left_bytes", "right_bytes")
+    groups = groups.repartition("seed").sortWithinPartitions("seed")
+    reach.append(mapped(groups, _reaches, "frame_a long, frame_b long, to_left long, to_right long"))
+    return reduce(DataFrame.union, reach)
 
 
 def _two(lefts: list[bytes], rights: list[bytes], least: int) -> list[tuple[np.ndarray, int, int]]:

@@ -89,7 +89,8 @@ def removed_by_hand(rows):
         for k, p in found if len(found) > 1 else []:
             covered[k][p: p + 200] = True
     return sorted(
-        ("" if i is None else str(i), str(int(c.sum())), hashlib.sha256(np.frombuffer(raw, np.uint8)[~c].tobytes()).hexdigest())
+        ("" if i is None else str(i), str(int(c.sum())), str(int((np.diff(np.append(False, c).astype(int)) == 1).sum())),
+         hashlib.sha256(np.frombuffer(raw, np.uint8)[~c].tobytes()).hexdigest())
         for (i, _), raw, c in zip(rows, texts, covered, strict=True))
 
 
@@ -99,11 +100,11 @@ def test_repeats_with_null_ids(spark):
             (6, noise(450, 25) + passage[:250] + noise(350, 26)), (None, noise(900, 27))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     want = removed_by_hand(rows)
-    assert sum(n != "0" for _, n, _ in want) == 3
-    assert keyed(repeats.removed(docs).collect(), "doc_id", "n_removed", "kept_sha256") == want
+    assert sum(n != "0" for _, n, *_ in want) == 3
+    assert keyed(repeats.removed(docs).collect(), "doc_id", "n_removed", "n_spans", "kept_sha256") == want
 
 
-@pytest.mark.parametrize("crowded", [1, 12])
+@pytest.mark.parametrize("crowded", [1, 3, 12])
 def test_repeats_of_crowded_seeds(spark, crowded):
     boiler = noise(330, 30)
     draw = random.Random(31)
@@ -115,7 +116,8 @@ def test_repeats_of_crowded_seeds(spark, crowded):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     _, _, groups, rest = repeats._compared(docs, crowded)
     assert rest is not None and groups.groupBy("seed").agg(F.countDistinct("frame_a").alias("n")).where(F.col("n") > crowded).isEmpty()
-    assert keyed(repeats.removed(docs, crowded).collect(), "doc_id", "n_removed", "kept_sha256") == removed_by_hand(rows)
+    found = keyed(repeats.removed(docs, crowded).collect(), "doc_id", "n_removed", "n_spans", "kept_sha256")
+    assert found == removed_by_hand(rows)
 
 
 def test_interval_tree_finds_all_occurrences():
