@@ -30,8 +30,9 @@ THRESHOLD = 0.7
 #: Weight of the counterfactual penalty.
 COUNTERFACTUAL = 5.0
 
-#: Terms that name groups, by kind; a term is swapped within its kind.
+#: Terms that name groups, by language and kind; a term is swapped within its kind.
 IDENTITY = [
+    # English
     ["women", "men", "girls", "boys"],
     ["woman", "man", "girl", "boy"],
     ["gay", "lesbian", "straight", "bisexual", "transgender", "queer"],
@@ -42,6 +43,24 @@ IDENTITY = [
     ["immigrants", "refugees", "foreigners", "citizens"],
     ["deaf", "blind", "disabled", "autistic"],
     ["old", "young", "elderly"],
+    # German
+    ["frauen", "männer", "mädchen", "jungen"],
+    ["schwul", "lesbisch", "bisexuell"],
+    ["muslime", "christen", "juden", "buddhisten", "atheisten"],
+    ["schwarze", "weiße", "asiaten", "europäer"],
+    ["einwanderer", "flüchtlinge", "ausländer", "bürger"],
+    # French
+    ["femmes", "hommes", "filles", "garçons"],
+    ["homosexuels", "lesbiennes", "bisexuels"],
+    ["musulmans", "chrétiens", "juifs", "bouddhistes", "athées"],
+    ["noirs", "blancs", "asiatiques", "européens"],
+    ["immigrés", "réfugiés", "étrangers", "citoyens"],
+    # Spanish
+    ["mujeres", "hombres", "chicas", "chicos"],
+    ["homosexuales", "lesbianas", "bisexuales"],
+    ["musulmanes", "cristianos", "judíos", "budistas", "ateos"],
+    ["negros", "blancos", "asiáticos", "latinos"],
+    ["inmigrantes", "refugiados", "extranjeros", "ciudadanos"],
 ]
 _KIND = {term: kind for kind in IDENTITY for term in kind}
 _TERM = re.compile(rb"(?<![0-9a-z\x80-\xff])(" + "|".join(sorted(_KIND)).encode() + rb")(?![0-9a-z\x80-\xff])")
