@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perchero.llm.common import mapped
+from perchero.llm.common import discard, mapped, stored
 from perchero.llm.textblock import Block, blocks, run_hashes
 
 #: Labelled rows that the model is fitted on, at most (in the order of a hash of their id).
@@ -202,9 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: f
     )
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(
         F.min_by("text", F.xxhash64("text")).alias("text"))
+    labelled = stored(labelled, "labelled")
     counts = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     n_ones, n_zeros = counts.get(1, 0), counts.get(0, 0)
     if not n_ones or not n_zeros:
+        discard(labelled)
         prior = (n_ones + 0.01) / (n_ones + n_zeros + 1)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
     features = _selected(labelled, n_ones, n_zeros)
@@ -230,9 +232,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: f
                      pa.array(other, pa.list_(pa.int64()))], names=["toxic", "own", "other"])
 
     found = mapped(
-        labelled.select("doc_id", "text", "toxic").select("text", "toxic"), extract,
+        labelled.select("text", "toxic"), extract,
         "toxic int, own array<bigint>, other array<bigint>")
-    sets = found.sort("toxic", "own", "other").collect()
+    # one row for each sampled id and label: bounded, and in a defined order for the sums
+    sets = sorted(found.collect(), key=lambda r: (r["toxic"], r["own"], r["other"] is not None, r["other"] or []))
+    discard(labelled)
 
     def matrix(lists) -> np.ndarray:
         out = np.zeros((len(lists), len(features)), np.float32)
