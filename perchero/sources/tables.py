@@ -20,6 +20,9 @@ CSV_SCHEMAS = {
     "ratings": S.RATINGS_CSV,
 }
 
+# Rows of one written CSV file.
+CSV_ROWS = 100_000
+
 
 class MissingTables(Exception):
     """Required input tables do not exist."""
@@ -96,7 +99,9 @@ def read_csv_tables(spark: SparkSession, paths: Mapping[str, str]) -> dict[str,
 
 
 def write_csv(table: DataFrame, path: str) -> None:
-    table.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Files of at most ``CSV_ROWS`` rows: where fields may hold line ends, one task reads a whole file."""
+    writer = table.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("maxRecordsPerFile", CSV_ROWS).csv(path)
 
 
 def append_contexts(contexts: DataFrame, path: str, mode: str = "append") -> None:
