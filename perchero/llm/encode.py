@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterable
+from itertools import chain, islice
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -35,6 +37,23 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+class _AfterSpace(dict):
+    """What stands after one space -> number of the piece with that space."""
+
+    def __init__(self, owner: Encoder):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, part: str) -> int:
+        owner = self.owner
+        if part.isascii() and part.isalpha():
+            ids = [t.id for t in owner.model.tokenize("\u0120" + part)]
+        else:
+            ids = owner._parts(" " + part)
+        number = self[part] = owner._added(ids)
+        return number
+
+
 class Encoder(dict):
     """Piece -> number in the table of known pieces."""
 
@@ -57,22 +76,32 @@ class Encoder(dict):
             self.kind = "words"
         else:
             self.kind = "whole"
+        self.after_space = _AfterSpace(self)
         self.clear_table()
 
     def clear_table(self) -> None:
         self.clear()
+        self.after_space.clear()
         self.flat, self.starts = array("I"), array("q", [0])
 
-    def __missing__(self, piece: str) -> int:
-        ids = self._parts(piece)
-        number = len(self.starts) - 1
+    def _added(self, ids: list[int] | array) -> int:
         self.flat.extend(ids)
         self.starts.append(len(self.flat))
-        self[piece] = number
+        return len(self.starts) - 2
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = self._added(self._parts(piece))
         return number
 
+    def _whole(self, text: str) -> int:
+        """The number of a text that is not cut."""
+        if text not in self:
+            self[text] = self._added(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self[text]
+
     def _known(self, piece: str) -> array:
-        number = self[piece]
+        spaced = self.kind == "spaced" and piece[:1] == " "
+        number = self.after_space[piece[1:]] if spaced else self[piece]
         return self.flat[self.starts[number]: self.starts[number + 1]]
 
     def _parts(self, piece: str) -> list[int] | array:
@@ -81,41 +110,54 @@ class Encoder(dict):
         A Latin-1 word, perhaps after one space, goes straight to the model. Punctuation after it and
         a line end before it are parts of their own, and case is dropped where the tokenizer does.
         """
-        if self.kind != "whole" and not self.holds_special(piece):
-            core = piece.rstrip(_TAIL)
-            spaced = self.kind == "spaced" and core[:1] == " "
-            letters = core[1:] if spaced else core
-            if letters.isalpha() and (letters.isascii() or max(letters) <= "\xff"):
-                if len(core) < len(piece):
-                    return self._known(core) + self._known(piece[len(core):])
-                if self.kind == "words" and not letters.islower():
-                    lowered = letters.lower()
-                    if lowered != letters:
-                        return self._known(lowered)
-                if letters.isascii():
-                    return [t.id for t in self.model.tokenize("\u0120" + letters if spaced else letters)]
-                return [t.id for t in self.model.tokenize("".join(map(_LETTERS.__getitem__, core.encode())))]
-            if self.kind == "spaced" and piece[:1] == "\n" and core[1:].isalpha():
+        core = piece.rstrip(_TAIL)
+        spaced = self.kind == "spaced" and core[:1] == " "
+        letters = core[1:] if spaced else core
+        if letters.isalpha() and (letters.isascii() or max(letters) <= "\xff"):
+            if len(core) < len(piece):
+                return self._known(core) + self._known(piece[len(core):])
+            if self.kind == "words" and not letters.islower():
+                lowered = letters.lower()
+                if lowered != letters:
+                    return self._known(lowered)
+            if letters.isascii():
+                return [t.id for t in self.model.tokenize("\u0120" + letters if spaced else letters)]
+            return [t.id for t in self.model.tokenize("".join(map(_LETTERS.__getitem__, core.encode())))]
+        if self.kind == "spaced":
+            if piece[:1] == "\n" and core[1:].isalpha():
                 return self._known("\n") + self._known(piece[1:])
+            cut = _PIECES.findall(piece)
+            if len(cut) > 1:
+                ids = array("I")
+                for part in cut:
+                    ids += self._known(part)
+                return ids
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def holds_special(self, text: str) -> bool:
         return any(t in text for t in self.special) or bool(self.folded and self.folded.search(text))
 
-    def pieces(self, text: str) -> list[str]:
+    def numbers(self, text: str) -> Iterable[int]:
+        """The numbers of a text's pieces. No piece of a text without a special token holds one."""
         if self.kind == "whole" or _ODD_SPACE.search(text) or self.holds_special(text):
-            return [text] if text else []
-        return text.split() if self.kind == "words" else _PIECES.findall(text)
+            return [self._whole(text)] if text else []
+        if self.kind == "words":
+            return map(self.__getitem__, text.split())
+        if "  " in text:
+            return map(self.__getitem__, _PIECES.findall(text))
+        parts = text.split(" ")
+        first = map(self.__getitem__, _PIECES.findall(parts[0]))
+        return chain(first, map(self.after_space.__getitem__, islice(parts, 1, None)))
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids side by side (unsigned 32 bits) and their number per text; ``end`` closes each text."""
-        if len(self) > CACHE_PIECES:
+        if len(self.starts) > CACHE_PIECES:
             self.clear_table()
         closing = [] if end is None else [self._closing(end)]
         numbers = array("q")
         bounds = [0]
         for text in texts:
-            numbers.extend(map(self.__getitem__, self.pieces(text)))
+            numbers.extend(self.numbers(text))
             numbers.extend(closing)
             bounds.append(len(numbers))
         which = np.frombuffer(numbers, np.int64) if numbers else np.zeros(0, np.int64)
@@ -128,7 +170,7 @@ class Encoder(dict):
         return ids, np.diff(upto[np.array(bounds)])
 
     def _closing(self, end: int) -> int:
-        key = f"\0end {end}"  # no piece that pieces() makes holds a space after another character
+        key = f"\0end {end}"  # no piece that numbers() makes holds a space after another character
         if key not in self:
             self.flat.append(end)
             self.starts.append(len(self.flat))
