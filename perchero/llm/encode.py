@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer, with each distinct piece encoded once per worker.
 
 A text is cut where the tokenizer always cuts (before white space), and pieces are looked up in a
-bounded table of the worker process; only new pieces reach the tokenizer. The ids equal those of
+bounded table of the worker process, equal ones of some texts once; only new pieces reach the tokenizer, without
+the signs that surely are parts of their own. The ids equal those of
 encoding the text as a whole. Tokenizers of another kind than the two known ones get whole texts, and
 so does any text that holds the string of a special token, where those are read as such.
 """
@@ -11,9 +12,10 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable
-from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from perchero.llm.textblock import Block
@@ -25,6 +27,11 @@ _PIECES = re.compile(r"\s*\S+|\s+")
 #: White space for Python, but not for the tokenizers' patterns.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _TAIL = ".,;:!?"
+#: Where the known pattern cuts for certain: before and after ASCII signs, but no apostrophe, that stand between a Latin-1
+#: letter or digit and a blank, a line end or the text's end; and before and after a line end amid other characters.
+_SIGN = r"!-&(-/:-@\[-`{-~"
+_LATIN = r"0-9A-Za-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_CUTS = re.compile(rf"([{_SIGN}\n](?:(?<=[{_LATIN}][{_SIGN}])[{_SIGN}]*(?=[ \n]|\Z)|(?<=\S\n)(?=\S)))")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,6 +44,10 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+def _letters(word: str) -> str:
+    return word if word.isascii() else "".join(map(_LETTERS.__getitem__, word.encode()))
+
+
 class _AfterSpace(dict):
     """What stands after one space -> number of the piece with that space."""
 
@@ -46,11 +57,12 @@ class _AfterSpace(dict):
 
     def __missing__(self, part: str) -> int:
         owner = self.owner
-        if part.isascii() and part.isalpha():
-            ids = [t.id for t in owner.model.tokenize("\u0120" + part)]
+        if part.isalpha() and (part.isascii() or max(part) <= "\xff"):
+            number = owner._added([t.id for t in owner.model.tokenize("\u0120" + _letters(part))])
         else:
-            ids = owner._parts(" " + part)
-        number = self[part] = owner._added(ids)
+            first, *rest = _CUTS.split(part)
+            number = owner._joined(self[first], rest) if rest else owner._added(owner._parts(" " + part))
+        self[part] = number
         return number
 
 
@@ -89,8 +101,19 @@ class Encoder(dict):
         self.starts.append(len(self.flat))
         return len(self.starts) - 2
 
+    def _joined(self, first: int, rest: list[str]) -> int:
+        """A known piece and what follows it as one."""
+        flat, starts = self.flat, self.starts
+        ids = flat[starts[first]: starts[first + 1]]
+        for piece in rest:
+            if piece:
+                number = self[piece]
+                ids += flat[starts[number]: starts[number + 1]]
+        return self._added(ids)
+
     def __missing__(self, piece: str) -> int:
-        number = self[piece] = self._added(self._parts(piece))
+        first, *rest = _CUTS.split(piece) if self.kind == "spaced" else [piece]
+        number = self[piece] = self._joined(self[first], rest) if rest else self._added(self._parts(piece))
         return number
 
     def _whole(self, text: str) -> int:
@@ -120,9 +143,7 @@ class Encoder(dict):
                 lowered = letters.lower()
                 if lowered != letters:
                     return self._known(lowered)
-            if letters.isascii():
-                return [t.id for t in self.model.tokenize("\u0120" + letters if spaced else letters)]
-            return [t.id for t in self.model.tokenize("".join(map(_LETTERS.__getitem__, core.encode())))]
+            return [t.id for t in self.model.tokenize(("\u0120" if spaced else "") + _letters(letters))]
         if self.kind == "spaced":
             if piece[:1] == "\n" and core[1:].isalpha():
                 return self._known("\n") + self._known(piece[1:])
@@ -143,31 +164,45 @@ class Encoder(dict):
             return [self._whole(text)] if text else []
         if self.kind == "words":
             return map(self.__getitem__, text.split())
-        if "  " in text:
-            return map(self.__getitem__, _PIECES.findall(text))
-        parts = text.split(" ")
-        first = map(self.__getitem__, _PIECES.findall(parts[0]))
-        return chain(first, map(self.after_space.__getitem__, islice(parts, 1, None)))
+        return map(self.__getitem__, _PIECES.findall(text))
+
+    def _plain(self, text: str) -> bool:
+        """Whether each single space begins a piece, and nothing else does."""
+        return "  " not in text and not _ODD_SPACE.search(text) and not self.holds_special(text)
+
+    def _after_spaces(self, tails: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of what stands after the first space of each text, side by side, and where each text's begin.
+
+        Parts that are equal are looked up once.
+        """
+        parts = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        found = np.fromiter(map(self.after_space.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
+        lengths = pc.fill_null(pc.list_value_length(parts), 0).to_numpy()
+        return found[coded.indices.to_numpy()], np.concatenate(([0], np.cumsum(lengths)))
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids side by side (unsigned 32 bits) and their number per text; ``end`` closes each text."""
         if len(self.starts) > CACHE_PIECES:
             self.clear_table()
         closing = [] if end is None else [self._closing(end)]
-        numbers = array("q")
-        bounds = [0]
+        runs, bounds, tails = [], [0], []
         for text in texts:
-            numbers.extend(self.numbers(text))
-            numbers.extend(closing)
-            bounds.append(len(numbers))
-        which = np.frombuffer(numbers, np.int64) if numbers else np.zeros(0, np.int64)
+            if self.kind == "spaced" and self._plain(text):
+                head, space, tail = text.partition(" ")
+                runs.append(list(map(self.__getitem__, _PIECES.findall(head))))
+                tails.append(tail if space else None)
+            else:
+                runs.append(list(self.numbers(text)))
+                tails.append(None)
+        which, bounds = _side_by_side(runs, *self._after_spaces(tails), closing)
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
         starts = np.frombuffer(self.starts, np.int64)
         lengths = starts[which + 1] - starts[which]
         upto = np.zeros(len(which) + 1, np.int64)
         np.cumsum(lengths, out=upto[1:])
         ids = flat[np.repeat(starts[which] - upto[:-1], lengths) + np.arange(upto[-1])]
-        return ids, np.diff(upto[np.array(bounds)])
+        return ids, np.diff(upto[bounds])
 
     def _closing(self, end: int) -> int:
         key = f"\0end {end}"  # no piece that numbers() makes holds a space after another character
@@ -178,6 +213,16 @@ class Encoder(dict):
         return self[key]
 
 
+def _side_by_side(heads: list[list[int]], tails: np.ndarray, edges: np.ndarray, closing: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Per text its head, its part of ``tails`` and ``closing``, one after the other, and where each text begins."""
+    runs = []
+    for head, a, b in zip(heads, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        runs += (head, tails[a:b], closing)
+    which = np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in runs)])
+    lengths = np.array([len(h) + len(closing) for h in heads], np.int64) + np.diff(edges)
+    return which, np.concatenate(([0], np.cumsum(lengths)))
+
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from perchero.llm import encode
@@ -31,3 +33,26 @@ def test_words_after_one_space_are_looked_up_without_it():
     encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"), True)
     encoder.encode(["uno dos, tres\ncuatro"])
     assert {"dos,", "dos", "tres\ncuatro", "tres"} <= set(encoder.after_space) and " dos" not in encoder
+
+
+def test_signs_and_line_ends_are_cut_without_the_tokenizer():
+    known = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    known.encode(["alpha beta gamma delta$ x. x, y!? z\nAlpha\nbeta\ngamma x$$ x-"])
+    texts = ["alpha$$ beta. gamma!? delta", "beta.\nAlpha, gamma$\nbeta!?", "gamma, beta-"]
+    whole = [known.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    known.tokenizer = None
+    ids, counts = known.encode(texts)
+    assert ids.tolist() == sum(whole, []) and counts.tolist() == [len(w) for w in whole]
+
+
+def test_cuts_equal_the_tokenizers_on_mixed_signs():
+    draw = random.Random(7)
+    bits = ["a", "It", "'s", "'", ".", ",", "!?", "$$", "_", "\n", "\n", " ", " ", " ", "7", "²", "é", "×",
+            "Ж", "中", "\t", "\r", " ", "́", "\0", "\x1d", "<|endoftext|>", "\U0001f600"]
+    texts = ["".join(draw.choices(bits, k=draw.randint(0, 12))) for _ in range(20_000)]
+    for special in (False, True):
+        own = Encoder(public_tokenizers.path("byte_bpe_50k.json"), special)
+        ids, counts = own.encode(texts)
+        whole = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in whole]
+        assert ids.tolist() == [i for w in whole for i in w]
