@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from perchero.operators import dataset, evaluate, generate, wardrobe
 from perchero.operators import ranking
 from perchero.operators.ranking import first_per_key, first_rows, keyed_position, top_k
 from perchero.sources import tables
-from perchero.sources.storage import write_table
+from perchero.sources.storage import in_name_order, write_table
 
 
 def keyed(spark, n=400):
@@ -35,6 +36,17 @@ def test_positions_equal_row_numbers(spark, blocks):
     assert check.filter("p <> want or n <> size").count() == 0
 
 
+def test_numbered_blocks_are_read_in_one_order(spark, tmp_path):
+    """Files of equal size come as the file system lists them, which changed the blocks that forests draw rows from."""
+    path = tmp_path / "table"
+    table = write_table(spark.range(0, 8, 1, 8).repartitionByRange(8, "id").select("id"), str(path))
+    files = sorted(path.glob("part-*"))
+    assert len(files) == 8 and len({f.stat().st_size for f in files}) < 8
+    got = in_name_order(table, str(path))
+    wanted = [i for f in sorted(files, key=lambda f: -f.stat().st_size) for i in pq.read_table(f).column("id").to_pylist()]
+    assert got.schema == table.schema and [r.id for r in got.collect()] == wanted and len(wanted) == 8
+
+
 def test_global_positions(spark):
     rows = keyed_position(keyed(spark).drop("k"), [], "id", "p", blocks=16)
     assert rows.filter("p <> id").count() == 0
